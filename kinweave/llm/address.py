@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.functions.address import DIRECTIONS, NUMBER_OF, ORDINAL_OF, QUALIFIERS, TYPE_OF, UNIT_WORDS, address_segments, split_address
-from kinweave.llm.minhash import band_keys, bands_for, padded_qgrams
+from kinweave.llm.minhash import bands_for, padded_qgrams, with_band_keys
 from kinweave.runtime import cut, dedup_latest
 
 #: Similarity of the shingle sets of two spellings that banding has to find, with this recall, in bands of this many hashes.
@@ -148,7 +148,8 @@ def street_spellings(rows: DataFrame) -> DataFrame:
     spelled = cut(rows.groupBy("town", "name").agg(F.count(F.lit(1)).alias("n"), F.max("type").alias("type"), F.max("dir").alias("dir")))
     tokens = F.filter(F.array("dir", "name", "type"), lambda t: t != "")
     shingles = F.array_union(padded_qgrams(F.array(fold(F.col("name")))), F.array(F.concat(F.lit("tok:"), fold(F.col("name")))))
-    keyed = spelled.select("town", "name", "n", tokens.alias("tokens"), F.explode(band_keys(shingles, bands_for(SIMILARITY, RECALL, ROWS), ROWS)).alias("key"))
+    banded = with_band_keys(spelled, shingles, keys=(bands_for(SIMILARITY, RECALL, ROWS), ROWS, 0))
+    keyed = cut(banded.select("town", "name", "n", tokens.alias("tokens"), F.explode("keys").alias("key")))
     a, b = keyed.alias("a"), keyed.alias("b")
     # Within a town, or between a spelling without a town and one with; each pair once, the frequent spelling as b.
     rank = lambda s: F.struct(F.col(f"{s}.n"), F.col(f"{s}.name"))

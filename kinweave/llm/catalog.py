@@ -5,10 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import bpe, components, packing, termfreq, vectors
+from kinweave.llm import address, bpe, components, names, packing, softlink, termfreq, vectors
 from kinweave.runtime import read_table as t
 
 
+def p1_confidence(spark: SparkSession, d: str) -> DataFrame:
+    return softlink.matched_pairs(t(spark, d, "an"), t(spark, d, "nicknames"))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_confidence(spark, d).select("record_id_1", "record_id_2")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.variant_pairs(t(spark, d, "raw_data"), t(spark, d, "nicknames"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return components.group_records(t(spark, d, "all_names_clustering"), t(spark, d, "gt_edges_clustering"))
 
@@ -21,6 +33,10 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     return termfreq.name_term_counts(t(spark, d, "last_names")).select("term", "total", "n_records")
 
 
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return address.same_location_pairs(t(spark, d, "raw_data"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return vectors.nearest_pairs(t(spark, d, "name_vectors")).select(F.col("ix_1").alias("nn_string_ix_1"), F.col("ix_2").alias("nn_string_ix_2"))
 
@@ -34,7 +50,7 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p3_found, p4_found, p4_counts, p7_found, p8_ids, p9_packed)}
+    return {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p3_found, p4_found, p4_counts, p5_found, p7_found, p8_ids, p9_packed)}
 
 
 TERMS = r"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,11 +31,22 @@ def padded_qgrams(words: Column, q: int = 2) -> Column:
     return F.array_distinct(F.flatten(F.transform(kept, grams)))
 
 
-def band_keys(shingles: Column, bands: int, rows: int, seed: int = 0) -> Column:
-    """Array of one 64-bit key per band; null for an empty set, which thus meets nobody."""
-    hashed = F.transform(shingles, lambda s: F.xxhash64(s))
-    def least(i: int) -> Column:
-        # one mixing step per hash function over already hashed shingles
-        return F.array_min(F.transform(hashed, lambda h: F.xxhash64(h, F.lit(seed * 1_000_003 + i))))
-    keys = F.array(*[F.xxhash64(F.lit(b), *[least(b * rows + r) for r in range(rows)]) for b in range(bands)])
-    return F.when(F.size(shingles) > 0, keys)
+def with_band_keys(df: DataFrame, shingles: Column, **bandings: tuple[int, int, int]) -> DataFrame:
+    """Adds one column per banding name = (bands, rows, seed): an array of one 64-bit key per band, empty for an empty or null set.
+
+    Shingles are built and hashed once, in projections of their own; each hash function is one multiply-and-mix step over them.
+    """
+    df = df.withColumn("_shingles", shingles).withColumn("_hashed", F.transform("_shingles", lambda s: F.xxhash64(s)))
+    functions = sorted({(seed, i) for bands, rows, seed in bandings.values() for i in range(bands * rows)})
+    def mixed(k: int) -> Column:
+        return F.array_min(F.transform("_hashed", lambda h: F.xxhash64(h, F.lit(k))))
+
+    least = {f"_m{seed}_{i}": mixed(seed * 1_000_003 + i) for seed, i in functions}
+    df = df.withColumns(least)
+    some = F.size("_shingles") > 0
+    none = F.array().cast("array<bigint>")
+    out = {
+        name: F.when(some, F.array(*[F.xxhash64(F.lit(b), *[F.col(f"_m{seed}_{b * rows + r}") for r in range(rows)]) for b in range(bands)])).otherwise(none)
+        for name, (bands, rows, seed) in bandings.items()
+    }
+    return df.withColumns(out).drop("_shingles", "_hashed", *least)
