@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kinweave.llm import address, bpe, components, names, packing, softlink, termfreq, vectors
+from kinweave.llm import address, bpe, components, names, packing, quality, softlink, termfreq, vectors
+from kinweave.runtime import cut
 from kinweave.runtime import read_table as t
 
 
@@ -49,8 +50,16 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(t(spark, d, "documents"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.no_prose(t(spark, d, "documents"), t(spark, d, "common_words"))
+
+
+def p10_stats(spark: SparkSession, d: str) -> DataFrame:
+    return quality.tail_scores(cut(quality.document_statistics(t(spark, d, "documents"), t(spark, d, "common_words"))))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p3_found, p4_found, p4_counts, p5_found, p7_found, p8_ids, p9_packed)}
+    return {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p3_found, p4_found, p4_counts, p5_found, p7_found, p8_ids, p9_packed, p10_found, p10_stats)}
 
 
 TERMS = r"""
