@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.bpe import decode_text
+from kinweave.runtime import cut
 
 # Everyday words of the languages, beside those of the helper table.
 COMMON = {
@@ -240,8 +241,13 @@ def quantiles(sketches: DataFrame) -> DataFrame:
 
 
 def tail_scores(stats: DataFrame) -> DataFrame:
-    """``stats`` with z_<stat>, the robust z-score of each statistic within its language: (value - median) / (IQR / 1.349), spread bounded below."""
-    table = quantiles(quantile_sketches(stats)).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("stat", F.struct("q25", "q50", "q75")))).alias("q"))
+    """``stats`` with z_<stat>, the robust z-score of each statistic within its language: (value - median) / (IQR / 1.349), spread bounded below.
+
+    Texts whose language nothing tells ('und', mostly junk) are held against the sketch of all texts, the sum of the others.
+    """
+    sketches = cut(quantile_sketches(stats))
+    pooled = sketches.groupBy("stat", "bin").agg(F.sum("n").alias("n")).select(F.lit("und").alias("lang"), "stat", "bin", "n")
+    table = quantiles(sketches.where(F.col("lang") != "und").unionByName(pooled)).groupBy("lang").agg(F.map_from_entries(F.collect_list(F.struct("stat", F.struct("q25", "q50", "q75")))).alias("q"))
     joined = stats.join(F.broadcast(table), "lang")  # one row per language of the fixed lists
     out = joined
     for s in STATS:
@@ -257,8 +263,6 @@ def no_prose(docs: DataFrame, common: DataFrame | None = None) -> DataFrame:
     Candidates are the documents in the tail of some statistic of their language; of them those come out of whose signs less than the share PROSE
     belong to sentences. Null, empty and blank texts are no case; an empty table gives an empty result.
     """
-    from kinweave.runtime import cut
-
     scored = tail_scores(cut(document_statistics(docs, common)))
     tail = F.greatest(*[F.abs(F.col(f"z_{s}")) for s in STATS]) >= TAIL
     return scored.where(tail & (F.col("sentence_share") < PROSE)).select("doc_id")
