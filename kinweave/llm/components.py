@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.runtime import HOT_ROWS, MAX_HOT_KEYS, cut, join_hot
+from kinweave.runtime import HOT_ROWS, MAX_HOT_KEYS, cut, join_hot, release
 
 
 def clean_edges(edges: DataFrame, left: str, right: str) -> DataFrame:
@@ -37,7 +37,8 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60, hot_rows: int = HOT_ROWS
         # v itself is a member of its own set: (m, v) and (v, m) come from the last term.
         sent = both.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("u")), F.struct(F.col("u").alias("v"), F.col("m").alias("u")))).alias("e"))
         own = least.select(F.explode(F.array(F.struct(F.col("m").alias("v"), F.col("v").alias("u")), F.struct(F.col("v"), F.col("m").alias("u")))).alias("e"))
-        state = cut(sent.unionByName(own).select("e.v", "e.u").where(F.col("v") != F.col("u")).distinct())
+        before, state = state, cut(sent.unionByName(own).select("e.v", "e.u").where(F.col("v") != F.col("u")).distinct())
+        release(before, least)
         now = tuple(state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
         if now == seen:
             return state.groupBy("v").agg(F.least(F.col("v"), F.min("u")).alias("group_id")).withColumnRenamed("v", "record_id")
