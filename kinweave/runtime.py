@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_own_folder: str | None = None
+
 #: A key is hot when it alone holds more than this many rows; see ``join_hot``.
 HOT_ROWS = 50_000
 #: At most this many hot keys are ever broadcast (they are the keys over ``rows / MAX_HOT_KEYS``).
@@ -19,18 +24,39 @@ def read_table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests), a temporary one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kinweave-checkpoint-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; only where it is unset (tests), a temporary one, removed at exit."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    global _own_folder
+    if _own_folder is None:
+        _own_folder = tempfile.mkdtemp(prefix="kinweave-")
+        atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
+    return f"file://{_own_folder}"
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and go on from there: survives lost executors and keeps plans short."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a table into the shared folder and go on from there.
+
+    That survives lost executors, keeps plans short, stops filters from being pushed into costly expressions, and gives the planner true sizes,
+    where a checkpoint would multiply estimated ones from round to round.
+    """
+    path = f"{shared_folder(df.sparkSession)}/kinweave-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._kinweave_path = path
+    return out
+
+
+def release(*tables: DataFrame | None) -> None:
+    """Delete tables that ``cut`` wrote and nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_kinweave_path", None)
+        if path:
+            sc = df.sparkSession.sparkContext
+            p = sc._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def parallelism(spark: SparkSession) -> int:
