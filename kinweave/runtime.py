@@ -8,6 +8,7 @@ import tempfile
 import uuid
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -93,3 +94,8 @@ def join_hot(large: DataFrame, small: DataFrame, key: str, hot: DataFrame) -> Da
     hot_small = small.join(F.broadcast(hot), key, "left_semi")
     cold = large.join(F.broadcast(hot), key, "left_anti").join(small, key)
     return large.join(F.broadcast(hot_small), key).unionByName(cold)
+
+
+def plain_strings(pdf: pd.DataFrame) -> pd.DataFrame:
+    """String columns as Python objects: chunked Arrow strings of pandas can't go back to Spark."""
+    return pdf.astype({c: object for c in pdf.columns if pd.api.types.is_string_dtype(pdf[c].dtype) and pdf[c].dtype != object})
