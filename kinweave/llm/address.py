@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.address import DIRECTIONS, NUMBER_OF, ORDINAL_OF, QUALIFIERS, TYPE_OF, UNIT_WORDS, address_segments, split_address
 from kinweave.llm.minhash import bands_for, padded_qgrams, with_band_keys
-from kinweave.runtime import cut, dedup_latest
+from kinweave.runtime import cut, dedup_latest, plain_strings
 
 #: Similarity of the shingle sets of two spellings that banding has to find, with this recall, in bands of this many hashes.
 SIMILARITY, RECALL, ROWS = 0.4, 0.97, 2
@@ -79,7 +79,7 @@ def read_texts(texts: DataFrame, codes: DataFrame, words: DataFrame) -> DataFram
             out = pd.DataFrame(rows, columns=["number", "dir", "name", "type", "code"])
             out.insert(0, "norm", pdf["norm"].to_numpy())
             out["by_word"] = pdf["by_word"].to_numpy()
-            yield out[out["number"] != ""]
+            yield plain_strings(out[out["number"] != ""])
 
     split = parts.mapInPandas(run, "norm string, number string, dir string, name string, type string, code string, by_word string")
     return split.join(codes, "code", "left").select("norm", "number", "dir", "name", "type", F.coalesce("town", "by_word").alias("town"))
@@ -167,7 +167,7 @@ def street_spellings(rows: DataFrame) -> DataFrame:
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pdf["cost"] = [min(align(list(x), list(y)), align([p], [q])) for x, y, p, q in zip(pdf["tokens_a"], pdf["tokens_b"], pdf["name_a"], pdf["name_b"])]
-            yield pdf[pdf["cost"] <= MOST].drop(columns=["tokens_a", "tokens_b"])
+            yield plain_strings(pdf[pdf["cost"] <= MOST].drop(columns=["tokens_a", "tokens_b"]))
 
     edges = cut(cand.mapInPandas(verify, "town_a string, name_a string, n_a long, town_b string, name_b string, n_b long, cost double"))
     # Star clustering: a spelling without a more frequent neighbour is a centre; the others join their best neighbouring centre.

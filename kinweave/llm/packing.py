@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.bpe import encode_corpus
-from kinweave.runtime import cut, parallelism
+from kinweave.runtime import cut, parallelism, plain_strings
 
 CAPACITY = 2_048
 #: Containers a window is meant to fill, and windows whose leftovers one group of the next level joins.
@@ -84,7 +84,7 @@ def packer(capacity: int, level: int, last: bool) -> Callable[[pd.DataFrame], pd
         place = pd.Series(best_fit(pdf["size"].tolist(), capacity))
         fill = pdf["size"].groupby(place).sum()
         loose = [] if last else fill[fill < capacity].nsmallest(CARRIED).index
-        return pdf.assign(carried=place.isin(loose), container=[f"{level}-{w}-{c}" for w, c in zip(pdf["win"], place)])[["key", "source", "piece", "start", "size", "win", "carried", "container"]]
+        return plain_strings(pdf.assign(carried=place.isin(loose), container=[f"{level}-{w}-{c}" for w, c in zip(pdf["win"], place)])[["key", "source", "piece", "start", "size", "win", "carried", "container"]])
 
     return pack
 

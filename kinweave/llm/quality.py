@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.llm.bpe import decode_text
-from kinweave.runtime import cut
+from kinweave.runtime import cut, plain_strings
 
 # Everyday words of the languages, beside those of the helper table.
 COMMON = {
@@ -212,7 +212,7 @@ def document_statistics(docs: DataFrame, common: DataFrame | None = None) -> Dat
             keep = [r is not None for r in rows]
             out = pd.DataFrame([r for r in rows if r is not None], columns=["lang", *STATS])
             out.insert(0, "doc_id", pdf["doc_id"][keep].to_numpy())
-            yield out
+            yield plain_strings(out)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, lang string, " + ", ".join(f"{s} double" for s in STATS)

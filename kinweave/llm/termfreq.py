@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kinweave.runtime import plain_strings
+
 #: A term is heavy when it may make up this share of all occurrences; at most 1 / HEAVY_SHARE terms are broadcast.
 HEAVY_SHARE = 0.002
 
@@ -35,7 +37,8 @@ def heavy_terms(terms: DataFrame, share: float = HEAVY_SHARE) -> list[str]:
             if len(kept) > k:  # Misra-Gries: subtract the (k + 1)-th largest count; what remains is off by at most n / k
                 kept = kept - np.partition(kept.to_numpy(), -k - 1)[-k - 1]
                 kept = kept[kept > 0]
-        yield pd.DataFrame({"term": kept.index.astype(str), "n": kept.to_numpy(), "rows": 0}) if len(kept) else pd.DataFrame({"term": pd.Series(dtype=str), "n": pd.Series(dtype="int64"), "rows": pd.Series(dtype="int64")})
+        if len(kept):
+            yield plain_strings(pd.DataFrame({"term": kept.index.astype(str), "n": kept.to_numpy(), "rows": 0}))
         yield pd.DataFrame({"term": [""], "n": [0], "rows": [n]})
 
     merged = terms.select("term").mapInPandas(summarise, "term string, n long, rows long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows"))
@@ -66,9 +69,9 @@ def heavy_light_counts(terms: DataFrame, share: float = HEAVY_SHARE) -> DataFram
             np.add.at(seen, a, 1)
             light = pdf[~is_heavy]
             if len(light):
-                yield light.groupby("term", as_index=False)[["value", "holds"]].sum().rename(columns={"value": "total", "holds": "n_records"}).assign(heavy=False)
+                yield plain_strings(light.groupby("term", as_index=False)[["value", "holds"]].sum().rename(columns={"value": "total", "holds": "n_records"}).assign(heavy=False))
         some = seen > 0
-        yield pd.DataFrame({"term": index[some].astype(str), "total": totals[some], "n_records": holds[some], "heavy": True})
+        yield plain_strings(pd.DataFrame({"term": index[some].astype(str), "total": totals[some], "n_records": holds[some], "heavy": True}))
 
     counted = terms.select("term", F.coalesce("value", F.lit(0)).cast("long").alias("value"), F.col("holds").cast("long")).mapInPandas(local, "term string, total long, n_records long, heavy boolean")
     # Rows of heavy terms are already one per partition; light terms have few rows. No key of this shuffle is hot.
