@@ -65,6 +65,11 @@ def parallelism(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over as many partitions as keep all cores busy, for steps that cost much per row: by bytes, small tables would get a single task."""
+    return df.repartition(parallelism(df.sparkSession))
+
+
 def norm_text(column: Column | str) -> Column:
     """Upper-cased, trimmed, with null as ''."""
     c = F.col(column) if isinstance(column, str) else column
