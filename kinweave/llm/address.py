@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from kinweave.functions.address import DIRECTIONS, NUMBER_OF, ORDINAL_OF, QUALIFIERS, TYPE_OF, UNIT_WORDS, address_segments, split_address
 from kinweave.llm.minhash import bands_for, padded_qgrams, with_band_keys
-from kinweave.runtime import cut, dedup_latest, plain_strings
+from kinweave.runtime import cut, dedup_latest, plain_strings, spread
 
 #: Similarity of the shingle sets of two spellings that banding has to find, with this recall, in bands of this many hashes.
 SIMILARITY, RECALL, ROWS = 0.4, 0.97, 2
@@ -71,7 +71,7 @@ def read_texts(texts: DataFrame, codes: DataFrame, words: DataFrame) -> DataFram
     """norm -> number, dir, name, type, town (null if the text names none); texts that are no address are left out."""
     said = texts.select("norm", F.explode(F.array_distinct(address_words(F.col("norm")))).alias("w"))
     by_word = said.join(words, "w").groupBy("norm").agg(F.collect_set("w").alias("town_words"), F.min("town").alias("by_word"))  # words of one text
-    parts = texts.join(by_word, "norm", "left")
+    parts = spread(texts.join(by_word, "norm", "left"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -146,10 +146,13 @@ def token_cost(a: str, b: str) -> float:
 def street_spellings(rows: DataFrame) -> DataFrame:
     """(town, name) -> (street_town, street): one name per street and town; spellings without a town join one where only one town fits."""
     spelled = cut(rows.groupBy("town", "name").agg(F.count(F.lit(1)).alias("n"), F.max("type").alias("type"), F.max("dir").alias("dir")))
-    tokens = F.filter(F.array("dir", "name", "type"), lambda t: t != "")
-    shingles = F.array_union(padded_qgrams(F.array(fold(F.col("name")))), F.array(F.concat(F.lit("tok:"), fold(F.col("name")))))
-    banded = with_band_keys(spelled, shingles, keys=(bands_for(SIMILARITY, RECALL, ROWS), ROWS, 0))
-    keyed = cut(banded.select("town", "name", "n", tokens.alias("tokens"), F.explode("keys").alias("key")))
+    # A spelling without a town that is spelled just like one with a town needs no near one.
+    placed_names = spelled.where(F.col("town").isNotNull()).select("name").distinct().withColumn("just", F.lit(True))
+    wanted = spelled.join(placed_names, "name", "left").where(F.col("town").isNotNull() | F.col("just").isNull()).drop("just")
+    folded = wanted.withColumn("folded", fold(F.col("name"))).withColumn("tokens", F.filter(F.array("dir", "name", "type"), lambda t: t != ""))
+    shingles = F.array_union(padded_qgrams(F.array(F.col("folded"))), F.array(F.concat(F.lit("tok:"), F.col("folded"))))
+    banded = with_band_keys(spread(folded), shingles, keys=(bands_for(SIMILARITY, RECALL, ROWS), ROWS, 0))
+    keyed = cut(banded.select("town", "name", "folded", "n", "tokens", F.explode_outer("keys").alias("key")))  # explode would add a filter on keys that repeats their whole expression
     a, b = keyed.alias("a"), keyed.alias("b")
     # Within a town, or between a spelling without a town and one with; each pair once, the frequent spelling as b.
     rank = lambda s: F.struct(F.col(f"{s}.n"), F.col(f"{s}.name"))
@@ -159,9 +162,11 @@ def street_spellings(rows: DataFrame) -> DataFrame:
     # The town is part of the bucket where both know it, so popular q-grams of other towns never meet.
     inside = a.join(b, (F.col("a.key") == F.col("b.key")) & some & length)
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & none & length)
+
     def pick(df: DataFrame) -> DataFrame:
-        df = df.where(F.levenshtein(fold(F.col("a.name")), fold(F.col("b.name")), 3) >= 0)
+        df = df.where(F.levenshtein(F.col("a.folded"), F.col("b.folded"), 3) >= 0)
         return df.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("town", "name", "n", "tokens")])
+
     cand = pick(inside).unionByName(pick(across)).dropDuplicates(["town_a", "name_a", "town_b", "name_b"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -169,7 +174,7 @@ def street_spellings(rows: DataFrame) -> DataFrame:
             pdf["cost"] = [min(align(list(x), list(y)), align([p], [q])) for x, y, p, q in zip(pdf["tokens_a"], pdf["tokens_b"], pdf["name_a"], pdf["name_b"])]
             yield plain_strings(pdf[pdf["cost"] <= MOST].drop(columns=["tokens_a", "tokens_b"]))
 
-    edges = cut(cand.mapInPandas(verify, "town_a string, name_a string, n_a long, town_b string, name_b string, n_b long, cost double"))
+    edges = cut(spread(cand).mapInPandas(verify, "town_a string, name_a string, n_a long, town_b string, name_b string, n_b long, cost double"))
     # Star clustering: a spelling without a more frequent neighbour is a centre; the others join their best neighbouring centre.
     inner = edges.where(F.col("town_a").isNotNull())
     satellites = inner.select("town_a", "name_a").distinct()
