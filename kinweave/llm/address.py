@@ -158,7 +158,9 @@ def street_spellings(rows: DataFrame) -> DataFrame:
     rank = lambda s: F.struct(F.col(f"{s}.n"), F.col(f"{s}.name"))
     some = (F.col("a.town") == F.col("b.town")) & (rank("a") < rank("b"))
     none = F.col("a.town").isNull() & F.col("b.town").isNotNull()
-    length = F.abs(F.length("a.name") - F.length("b.name")) <= 3
+    # Upper and lower streets of one name are two streets.
+    part = lambda s: F.regexp_extract(f"{s}.name", f"^({'|'.join(sorted(set(QUALIFIERS.values())))})", 1)
+    length = (F.abs(F.length("a.name") - F.length("b.name")) <= 3) & (part("a") == part("b"))
     # The town is part of the bucket where both know it, so popular q-grams of other towns never meet.
     inside = a.join(b, (F.col("a.key") == F.col("b.key")) & some & length)
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & none & length)
