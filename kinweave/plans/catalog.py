@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +15,7 @@ from kinweave.operators import blocking, clustering, evaluation, features, mustl
 from kinweave.operators.components import connected_components
 from kinweave.plans import sql as S
 from kinweave.plans.pipeline import LinkagePipeline
-from kinweave.runtime import cut
+from kinweave.runtime import cut, shared_folder
 from kinweave.runtime import read_table as t
 from kinweave.sources import files
 
@@ -490,7 +490,7 @@ def linkage(spark, d):
         ],
     }
     one = an(spark, d).groupBy("record_id").agg(*[F.coalesce(F.max(c).cast("string"), F.lit("")).alias(c) for c in ("first_name", "last_name", "dob", "age", "address_street_name", "uid")])
-    run = LinkagePipeline(spark, config, tempfile.mkdtemp(prefix="kinweave-run-"), tables={"an": one})
+    run = LinkagePipeline(spark, config, f"{shared_folder(spark)}/run-{uuid.uuid4().hex}", tables={"an": one})
     return run.run(until="clusters").table("clusters")
 
 

@@ -31,6 +31,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     global _own_folder
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _own_folder is None:
         _own_folder = tempfile.mkdtemp(prefix="kinweave-")
         atexit.register(shutil.rmtree, _own_folder, ignore_errors=True)
@@ -50,14 +52,38 @@ def cut(df: DataFrame) -> DataFrame:
     return out
 
 
+def _file(spark: SparkSession, path: str):
+    sc = spark.sparkContext
+    p = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(sc._jsc.hadoopConfiguration()), p
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder of any file system; nothing happens if it isn't there."""
+    fs, p = _file(spark, path)
+    fs.delete(p, True)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file into any file system."""
+    fs, p = _file(spark, path)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, or None if it isn't there."""
+    fs, p = _file(spark, path)
+    return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(fs.open(p), "UTF-8") if fs.exists(p) else None
+
+
 def release(*tables: DataFrame | None) -> None:
     """Delete tables that ``cut`` wrote and nothing reads any more."""
     for df in tables:
         path = getattr(df, "_kinweave_path", None)
         if path:
-            sc = df.sparkSession.sparkContext
-            p = sc._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
+            delete(df.sparkSession, path)
 
 
 def parallelism(spark: SparkSession) -> int:
