@@ -11,7 +11,6 @@ from __future__ import annotations
 import base64
 import os
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -164,10 +163,14 @@ class Encoder:
         return [np.concatenate([self.known[w] for w in ws]) if ws else empty for ws in split]
 
 
-@lru_cache(maxsize=4)
+_encoders: dict[bytes, Encoder] = {}
+
+
 def encoder_of(data: bytes) -> Encoder:
-    """One encoder per Python worker and vocabulary."""
-    return Encoder(data)
+    """One encoder per vocabulary. A plain dictionary: decorated functions would be sent to workers by name only."""
+    if data not in _encoders:
+        _encoders[data] = Encoder(data)
+    return _encoders[data]
 
 
 def decode_text(raw: bytes | None) -> str | None:

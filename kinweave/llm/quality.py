@@ -8,7 +8,6 @@ tail of a statistic are candidates, and an exact look at their sentences decides
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -33,8 +32,17 @@ GAMMA, TAIL, PROSE = 1.02, 2.0, 0.4
 LEAST_SPREAD = {"n_words": 10.0, "mean_word_length": 0.5, "words_per_line": 3.0, "sentence_share": 0.1}
 
 
-@lru_cache(maxsize=1)
-def patterns():
+_patterns: dict = {}
+
+
+def patterns() -> dict:
+    """Compiled patterns, made once."""
+    if not _patterns:
+        _patterns.update(compiled())
+    return _patterns
+
+
+def compiled() -> dict:
     import regex
 
     return {
