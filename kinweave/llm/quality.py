@@ -126,20 +126,19 @@ def is_sentence(piece: str, closed: bool, alone: bool, common: dict[str, frozens
 
 def paragraphs(text: str) -> list[str]:
     """Lines without bullets; hard-wrapped lines are joined with the line before."""
-    p, out, current, last = patterns(), [], "", ""
+    p, out, current = patterns(), [], []
     for line in p["leader"].sub(" | ", text).splitlines():
         if not line.strip():
             continue
-        bullet = p["bullet"].match(line)
+        bullet, last = p["bullet"].match(line), current[-1] if current else ""
         long = len(last) >= (20 if len(p["han"].findall(last)) > 5 else 40)
-        if current and not bullet and long and not p["end"].search(current.rstrip()[-3:]) and p["opens"].match(line) and not p["cell"].search(line.strip()):
-            current += "\n" + line
+        if current and not bullet and long and not p["end"].search(last.rstrip()[-3:]) and p["opens"].match(line) and not p["cell"].search(line.strip()):
+            current.append(line)
         else:
             if current:
-                out.append(current)
-            current = line[bullet.end() :] if bullet else line
-        last = line
-    return out + [current] if current else out
+                out.append("\n".join(current))
+            current = [line[bullet.end() :] if bullet else line]
+    return [*out, "\n".join(current)] if current else out
 
 
 def sentence_share(text: str, common: dict[str, frozenset[str]]) -> float:
