@@ -197,10 +197,11 @@ def test_clustering_by_component_equals_one_loop(spark, seed):
 def test_user_constraints(spark):
     names = spark.createDataFrame([(f"r{i}", "", i) for i in range(4)], "record_id string, uid string, size int")
     links = spark.createDataFrame([("r0", "r1", 0.9), ("r1", "r2", 0.8), ("r2", "r3", 0.7)], "record_id_1 string, record_id_2 string, phat double")
-    rule = clustering.Constraints(valid_cluster=lambda df, phat: len(df) <= 2 or df["size"].max() < 3, columns=("size",))
+    rule = clustering.Constraints(valid_cluster=lambda df, phat: len(df) <= 2 or df["size"].max() < 3, columns=("size",), types={"size": "int"})
     start = clustering.initial_clusters(names, None)
     got = dict(clustering.greedy_clusters(start, clustering.cluster_edges(links, names, ["uid"], rule), names, ["uid"], rule).collect())
     assert got["r0"] == got["r1"] == got["r2"] != got["r3"]
+    assert clustering.Constraints(columns=("all",)).read(names, ["uid"]).columns == ["record_id", "uid", "size"]
     no_link = clustering.Constraints(valid_link=F.col("phat") > 0.75)
     assert clustering.cluster_edges(links, names, ["uid"], no_link).count() == 2
 
