@@ -1,20 +1,23 @@
 """Blocking: from names to candidate pairs of blockstrings.
 
-The neighbours of a name are found exactly: names are unit vectors of weighted bigrams, and two vectors can only reach a similarity if they
-share a bigram of their prefixes, the rarest bigrams that carry enough of the norm. So the join key is a prefix bigram, never a common one, and
-the exact cosine is computed on the few pairs that meet.
+The neighbours of a name are found exactly: names are unit vectors of weighted bigrams, and blocks of them are multiplied as matrices; pairs
+near the bar are computed again in double precision.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kinweave.config import Parameters
 from kinweave.functions.cleaning import date_part, name_part
-from kinweave.runtime import cut
+from kinweave.runtime import cut, parallelism
 
 EPS = 1e-9
+#: Names of a block (about 50 MB as a dense matrix) and rows of a tile of products.
+BLOCK_NAMES, TILE = 8_192, 1_024
 
 
 def split_last_names(names: DataFrame) -> DataFrame:
@@ -92,28 +95,53 @@ def cosine_of_pairs(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     return pairs.join(dots, ["nn_string_1", "nn_string_2"], "left").withColumn("cos_dist", 1.0 - F.coalesce("dot", F.lit(0.0))).drop("dot")
 
 
+def _near_in_blocks(bar: float):
+    """Pairs of names of two blocks within ``bar``: float32 tiles screen, double precision decides."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        b1, b2 = pdf["b1"].iloc[0], pdf["b2"].iloc[0]
+        sizes = pdf["v"].map(len).to_numpy()
+        grams, codes = np.unique(np.concatenate([[e["shingle"] for e in v] for v in pdf["v"]]), return_inverse=True)
+        m = np.zeros((len(pdf), len(grams)))
+        m[np.repeat(np.arange(len(pdf)), sizes), codes] = np.concatenate([[e["x"] for e in v] for v in pdf["v"]])
+        names, block = pdf["nn_string"].to_numpy(dtype=object), pdf["block"].to_numpy()
+        one = np.flatnonzero(block == b1)
+        two = one if b1 == b2 else np.flatnonzero(block == b2)
+        left, right, out = m[one].astype(np.float32), m[two].astype(np.float32).T, []
+        for i in range(0, len(one), TILE):
+            r, c = np.nonzero(left[i : i + TILE] @ right >= 1.0 - bar - 1e-4)
+            r += i
+            if b1 == b2:
+                r, c = r[r < c], c[r < c]
+            for k in range(0, len(r), 100_000):
+                p, q = one[r[k : k + 100_000]], two[c[k : k + 100_000]]
+                dist = 1.0 - np.einsum("ij,ij->i", m[p], m[q])
+                keep = dist <= bar + EPS
+                out.append(pd.DataFrame({"n1": names[p[keep]], "n2": names[q[keep]], "cos_dist": dist[keep]}))
+        return pd.concat(out).astype({"n1": object, "n2": object}) if out else pd.DataFrame({"n1": [], "n2": [], "cos_dist": []})
+
+    return run
+
+
 def similar_names(vectors: DataFrame, bar: float, ordered: bool = True, queries: DataFrame | None = None) -> DataFrame:
     """(nn_string_1, nn_string_2, cos_dist) of all pairs of different names within ``bar``; exact.
 
+    Vectors have at most 781 dimensions and share most of them, so an inverted index hardly prunes; blocks of names are multiplied as matrices
+    instead, each pair of blocks once and by a task of its own.
     ordered: each pair once, by nn_string + '::'; otherwise both directions. queries: only pairs whose first name is in it (nn_string).
     """
-    least = 1.0 - bar
-    df = vectors.groupBy("shingle").agg(F.count(F.lit(1)).alias("df"))
-    rare_first = Window.partitionBy("nn_string").orderBy("df", "shingle").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    # The bigrams from here on have the norm `rest`; once it is below the bar, no partner can be missed by leaving them out.
-    posted = cut(vectors.join(df, "shingle").withColumn("rest", F.sqrt(F.sum(F.col("x") * F.col("x")).over(rare_first))))
-    prefix = posted.where(F.col("rest") >= least - EPS).select("nn_string", "shingle")
-    left = prefix if queries is None else prefix.join(queries.select("nn_string"), "nn_string", "left_semi")
-    a, b = left.alias("a"), prefix.alias("b")
-    one, two = F.concat(F.col("a.nn_string"), F.lit("::")), F.concat(F.col("b.nn_string"), F.lit("::"))
-    met = a.join(b, (F.col("a.shingle") == F.col("b.shingle")) & ((one < two) if ordered else (one != two)))
-    pairs = met.select(F.col("a.nn_string").alias("nn_string_1"), F.col("b.nn_string").alias("nn_string_2")).distinct()
-    # The exact cosine from whole vectors, one array per name.
-    whole = vectors.groupBy("nn_string").agg(F.map_from_entries(F.collect_list(F.struct("shingle", "x"))).alias("v"))  # at most 781 bigrams
-    side = lambda i: whole.select(F.col("nn_string").alias(f"nn_string_{i}"), F.col("v").alias(f"v{i}"))
-    dot = F.aggregate(F.map_entries("v1"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at("v2", e["key"]), F.lit(0.0)))
-    scored = pairs.join(side(1), "nn_string_1").join(side(2), "nn_string_2").select("nn_string_1", "nn_string_2", (1.0 - dot).alias("cos_dist"))
-    return scored.where(F.col("cos_dist") <= bar + EPS)
+    whole = cut(vectors.groupBy("nn_string").agg(F.collect_list(F.struct("shingle", "x")).alias("v")))  # at most 781 bigrams
+    blocks = max(1, -(-whole.count() // BLOCK_NAMES), int(np.ceil(np.sqrt(2 * parallelism(vectors.sparkSession)))))
+    sides = whole.withColumn("block", F.pmod(F.xxhash64("nn_string"), F.lit(blocks)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    sides = sides.select(F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "nn_string", "v")
+    near = sides.groupBy("b1", "b2").applyInPandas(_near_in_blocks(bar), "n1 string, n2 string, cos_dist double")
+    first = F.concat("n1", F.lit("::")) < F.concat("n2", F.lit("::"))
+    if ordered:
+        out = near.select(F.when(first, F.col("n1")).otherwise(F.col("n2")).alias("nn_string_1"), F.when(first, F.col("n2")).otherwise(F.col("n1")).alias("nn_string_2"), "cos_dist")
+    else:
+        turn = F.array(F.struct(F.col("n1").alias("a"), F.col("n2").alias("b")), F.struct(F.col("n2").alias("a"), F.col("n1").alias("b")))
+        out = near.select(F.explode(turn).alias("p"), "cos_dist").select(F.col("p.a").alias("nn_string_1"), F.col("p.b").alias("nn_string_2"), "cos_dist")
+    return out if queries is None else out.join(queries.select(F.col("nn_string").alias("nn_string_1")), "nn_string_1", "left_semi").select("nn_string_1", "nn_string_2", "cos_dist")
 
 
 def nearest_names(pairs: DataFrame, k: int = 500) -> DataFrame:
