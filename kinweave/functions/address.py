@@ -54,6 +54,12 @@ def split_address(text: str | None, towns: frozenset[str] | set[str] = frozenset
     ``towns``: words of the text that are known to name its town; they belong to no street. The name is joined without blanks, qualifiers
     first and spelled out. Leading zeros of the number go. A leading ST is part of the name (SAINT), one behind it a type.
     """
+    number, direction, names, kind, postcode = address_parts(text, towns)
+    return number, direction, "".join(names), kind, postcode
+
+
+def address_parts(text: str | None, towns: frozenset[str] | set[str] = frozenset()) -> tuple[str, str, list[str], str, str]:
+    """``split_address`` with the name as a list of its words."""
     number = direction = kind = postcode = ""
     names: list[str] = []
     for words in address_segments(text or ""):
@@ -76,5 +82,5 @@ def split_address(text: str | None, towns: frozenset[str] | set[str] = frozenset
             break
     names = ["SAINT" if w == "ST" else QUALIFIERS.get(w, w) for w in names]
     if not number or not names or all(w in NOT_ADDRESSES.split() for w in names):
-        return "", "", "", "", postcode
-    return number, direction, "".join(names), kind, postcode
+        return "", "", [], "", postcode
+    return number, direction, names, kind, postcode

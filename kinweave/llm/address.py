@@ -3,9 +3,9 @@
 1. Towns are learned from the whole table: the word that goes with a postcode names its town, also with a slip; coordinates stand for the
    town whose rows lie around them. Towns are joined, never broadcast by hand.
 2. Texts are split into number, direction, name, type and town.
-3. Street spellings meet by MinHash banding on token and q-gram shingles; candidates are verified by an affine-gap alignment of their
-   tokens, in which abbreviations cost nothing, slips little, and missing parts less than contradicting ones. Star clustering around the most
-   frequent spelling of a town gives each street one name.
+3. Street spellings meet by MinHash banding on token and q-gram shingles; candidates are verified by an affine-gap alignment of the words of
+   their names, in which abbreviations cost nothing, slips little, and a contradiction or a word left out more than is accepted. Star
+   clustering around the most frequent spelling of a town gives each street one name.
 4. Parts left out (type, direction, town) are filled where the other rows of the street, or of the same number on it, leave one reading only.
 Rows of one number, street, type, direction and town are one location.
 """
@@ -18,13 +18,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.address import DIRECTIONS, NUMBER_OF, ORDINAL_OF, QUALIFIERS, TYPE_OF, UNIT_WORDS, address_segments, split_address
+from kinweave.functions.address import DIRECTIONS, NUMBER_OF, ORDINAL_OF, QUALIFIERS, TYPE_OF, UNIT_WORDS, address_parts
 from kinweave.llm.minhash import bands_for, padded_qgrams, with_band_keys
 from kinweave.runtime import cut, dedup_latest, plain_strings, spread
 
 #: Similarity of the shingle sets of two spellings that banding has to find, with this recall, in bands of this many hashes.
 SIMILARITY, RECALL, ROWS = 0.4, 0.97, 2
-#: Costs of the alignment: opening and extending a gap (a part left out), a contradiction, and the most that is accepted.
+#: Costs of the alignment: opening and extending a gap (a type or direction left out), a contradiction or a word of the name left out, and the
+#: most that is accepted.
 GAP_OPEN, GAP_EXTEND, CLASH, MOST = 0.3, 0.1, 1.0, 0.75
 #: Share of a postcode's texts that a word needs to name its town.
 TOWN_SHARE = 0.3
@@ -68,21 +69,21 @@ def learn_towns(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def read_texts(texts: DataFrame, codes: DataFrame, words: DataFrame) -> DataFrame:
-    """norm -> number, dir, name, type, town (null if the text names none); texts that are no address are left out."""
+    """norm -> number, dir, name, type, words of the name, town (null if the text names none); texts that are no address are left out."""
     said = texts.select("norm", F.explode(F.array_distinct(address_words(F.col("norm")))).alias("w"))
     by_word = said.join(words, "w").groupBy("norm").agg(F.collect_set("w").alias("town_words"), F.min("town").alias("by_word"))  # words of one text
     parts = spread(texts.join(by_word, "norm", "left"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [split_address(t, frozenset(() if w is None else w)) for t, w in zip(pdf["norm"], pdf["town_words"])]
-            out = pd.DataFrame(rows, columns=["number", "dir", "name", "type", "code"])
+            rows = [address_parts(t, frozenset(() if w is None else w)) for t, w in zip(pdf["norm"], pdf["town_words"])]
+            out = pd.DataFrame([(n, d, "".join(ws), k, c, " ".join(map(canonical, ws))) for n, d, ws, k, c in rows], columns=["number", "dir", "name", "type", "code", "words"])
             out.insert(0, "norm", pdf["norm"].to_numpy())
             out["by_word"] = pdf["by_word"].to_numpy()
             yield plain_strings(out[out["number"] != ""])
 
-    split = parts.mapInPandas(run, "norm string, number string, dir string, name string, type string, code string, by_word string")
-    return split.join(codes, "code", "left").select("norm", "number", "dir", "name", "type", F.coalesce("town", "by_word").alias("town"))
+    split = parts.mapInPandas(run, "norm string, number string, dir string, name string, type string, code string, words string, by_word string")
+    return split.join(codes, "code", "left").select("norm", "number", "dir", "name", "type", "words", F.coalesce("town", "by_word").alias("town"))
 
 
 def with_coordinate_towns(rows: DataFrame) -> DataFrame:
@@ -99,25 +100,43 @@ def with_coordinate_towns(rows: DataFrame) -> DataFrame:
 
 
 def align(a: list[str], b: list[str]) -> float:
-    """Affine-gap alignment cost of two token lists (Gotoh); 0 for equal ones."""
+    """Affine-gap alignment cost of two token lists (Gotoh); 0 for equal ones. Gaps on both sides never stand in for a contradiction."""
     big = 1e9
     n, m = len(a), len(b)
     best = [[big] * (m + 1) for _ in range(n + 1)]
     up = [[big] * (m + 1) for _ in range(n + 1)]
     left = [[big] * (m + 1) for _ in range(n + 1)]
-    best[0][0] = 0.0
+    pair = [[big] * (m + 1) for _ in range(n + 1)]  # the last step is no gap: a gap opens from here only, never behind one of the other side
+    pair[0][0] = best[0][0] = 0.0
     for i in range(n + 1):
         for j in range(m + 1):
             if i:
-                up[i][j] = min(best[i - 1][j] + GAP_OPEN, up[i - 1][j] + GAP_EXTEND)
+                up[i][j] = min(pair[i - 1][j] + gap_cost(a[i - 1], GAP_OPEN), up[i - 1][j] + gap_cost(a[i - 1], GAP_EXTEND))
             if j:
-                left[i][j] = min(best[i][j - 1] + GAP_OPEN, left[i][j - 1] + GAP_EXTEND)
+                left[i][j] = min(pair[i][j - 1] + gap_cost(b[j - 1], GAP_OPEN), left[i][j - 1] + gap_cost(b[j - 1], GAP_EXTEND))
             if i and j:
-                best[i][j] = min(best[i][j], best[i - 1][j - 1] + token_cost(a[i - 1], b[j - 1]))
-            best[i][j] = min(best[i][j], up[i][j], left[i][j])
+                pair[i][j] = best[i - 1][j - 1] + token_cost(a[i - 1], b[j - 1])
+            best[i][j] = min(pair[i][j], up[i][j], left[i][j])
     return best[n][m]
 
 
+def canonical(w: str) -> str:
+    """The one form of a word and its abbreviations."""
+    w = DIRECTIONS.get(w, QUALIFIERS.get(w, ORDINAL_OF.get(w, w)))
+    return TYPE_OF.get(w, w)
+
+
+def gap_cost(w: str, part: float) -> float:
+    """``part`` for types and directions, which people leave out; a word of the name tells streets apart."""
+    return part if w in TYPE_OF or w in DIRECTIONS else CLASH
+
+
+def spelling_cost(a: str, b: str) -> float:
+    """Alignment cost of two names (words parted by blanks): word by word; as one word each if blanks may have been typed inside a word."""
+    x, y = a.split(), b.split()
+    return align(x, y) if len(x) == len(y) else token_cost("".join(x), "".join(y))
+
+
 def slips(a: str, b: str) -> int:
     """Edit distance with neighbouring transpositions."""
     before, row = None, list(range(len(b) + 1))
@@ -145,14 +164,14 @@ def token_cost(a: str, b: str) -> float:
 
 def street_spellings(rows: DataFrame) -> DataFrame:
     """(town, name) -> (street_town, street): one name per street and town; spellings without a town join one where only one town fits."""
-    spelled = cut(rows.groupBy("town", "name").agg(F.count(F.lit(1)).alias("n"), F.max("type").alias("type"), F.max("dir").alias("dir")))
+    spelled = cut(rows.groupBy("town", "name").agg(F.count(F.lit(1)).alias("n"), F.mode("words", True).alias("words")))
     # A spelling without a town that is spelled just like one with a town needs no near one.
     placed_names = spelled.where(F.col("town").isNotNull()).select("name").distinct().withColumn("just", F.lit(True))
     wanted = spelled.join(placed_names, "name", "left").where(F.col("town").isNotNull() | F.col("just").isNull()).drop("just")
-    folded = wanted.withColumn("folded", fold(F.col("name"))).withColumn("tokens", F.filter(F.array("dir", "name", "type"), lambda t: t != ""))
+    folded = wanted.withColumn("folded", fold(F.col("name"))).withColumn("whole", F.replace("words", F.lit(" "), F.lit("")))
     shingles = F.array_union(padded_qgrams(F.array(F.col("folded"))), F.array(F.concat(F.lit("tok:"), F.col("folded"))))
     banded = with_band_keys(spread(folded), shingles, keys=(bands_for(SIMILARITY, RECALL, ROWS), ROWS, 0))
-    keyed = cut(banded.select("town", "name", "folded", "n", "tokens", F.explode_outer("keys").alias("key")))  # explode would add a filter on keys that repeats their whole expression
+    keyed = cut(banded.select("town", "name", "words", "whole", "n", F.explode_outer("keys").alias("key")))  # explode would add a filter on keys that repeats their whole expression
     a, b = keyed.alias("a"), keyed.alias("b")
     # Within a town, or between a spelling without a town and one with; each pair once, the frequent spelling as b.
     rank = lambda s: F.struct(F.col(f"{s}.n"), F.col(f"{s}.name"))
@@ -160,21 +179,23 @@ def street_spellings(rows: DataFrame) -> DataFrame:
     none = F.col("a.town").isNull() & F.col("b.town").isNotNull()
     # Upper and lower streets of one name are two streets.
     part = lambda s: F.regexp_extract(f"{s}.name", f"^({'|'.join(sorted(set(QUALIFIERS.values())))})", 1)
-    length = (F.abs(F.length("a.name") - F.length("b.name")) <= 3) & (part("a") == part("b"))
+    # A cost of MOST allows slips in MOST / 3 of the letters at most, and a slip is at most two edits.
+    longest = F.greatest(F.length("a.whole"), F.length("b.whole"))
+    length = (F.abs(F.length("a.whole") - F.length("b.whole")) * 3 <= longest * MOST) & (part("a") == part("b"))
     # The town is part of the bucket where both know it, so popular q-grams of other towns never meet.
     inside = a.join(b, (F.col("a.key") == F.col("b.key")) & some & length)
     across = a.join(b, (F.col("a.key") == F.col("b.key")) & none & length)
 
     def pick(df: DataFrame) -> DataFrame:
-        df = df.where(F.levenshtein(F.col("a.folded"), F.col("b.folded"), 3) >= 0)
-        return df.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("town", "name", "n", "tokens")])
+        df = df.where(F.levenshtein(F.col("a.whole"), F.col("b.whole")) * 3 <= 2 * longest * MOST)
+        return df.select(*[F.col(f"{s}.{c}").alias(f"{c}_{s}") for s in "ab" for c in ("town", "name", "n", "words")])
 
     cand = pick(inside).unionByName(pick(across)).dropDuplicates(["town_a", "name_a", "town_b", "name_b"])
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["cost"] = [min(align(list(x), list(y)), align([p], [q])) for x, y, p, q in zip(pdf["tokens_a"], pdf["tokens_b"], pdf["name_a"], pdf["name_b"])]
-            yield plain_strings(pdf[pdf["cost"] <= MOST].drop(columns=["tokens_a", "tokens_b"]))
+            pdf["cost"] = [spelling_cost(x, y) for x, y in zip(pdf["words_a"], pdf["words_b"])]
+            yield plain_strings(pdf[pdf["cost"] <= MOST].drop(columns=["words_a", "words_b"]))
 
     edges = cut(spread(cand).mapInPandas(verify, "town_a string, name_a string, n_a long, town_b string, name_b string, n_b long, cost double"))
     # Star clustering: a spelling without a more frequent neighbour is a centre; the others join their best neighbouring centre.
