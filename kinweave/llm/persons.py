@@ -33,8 +33,9 @@ FRANCES FRAN FANNY FRANCIE FRANKIE, ISABELLA IZZY BELLA BELLE ISA, LUCILLE LUCY
 PHILIPPA PIPPA PIP, SAMANTHA SAM SAMMY, STEPHANIE STEPH STEFFI STEVIE, WINIFRED WIN WINNIE FREDA, BARBARA BABS BARB BARBIE, HELEN NELL NELLIE LENA, PAMELA PAM,
 VIRGINIA GINNY GINGER, ANNA ANN ANNIE NAN, LAURA LAURIE LORI, ALICE ALLIE, EDITH EDIE, CLARA CLAIRE, EMILY EM EMMY, JESSICA JESS JESSIE, KIMBERLY KIM, VALERIE VAL
 """
-#: Records of one person; an identifier on more is none.
-UID_RECORDS = 1_000
+#: Different persons, by the look of names and of dates, that an identifier may stand for (slips and nicknames look different too); one that
+#: stands for more is a default or test value.
+UID_LOOKS = 10
 #: Rows of a helper table (nicknames) that may become a literal map; a larger one is refused.
 HELPER_ROWS = 20_000
 
@@ -115,10 +116,28 @@ def street_fold(name: Column) -> Column:
     return F.when((s != "") & ~s.isin("REDACTED", "UNKNOWN", "NOFIXEDADDRESS"), fold(s))
 
 
-def without_shared_ids(df: DataFrame, uid: str = "uid", most: int = UID_RECORDS) -> DataFrame:
-    """Identifiers on more than ``most`` records identify nobody (defaults, test values) and become unknown; all records stay."""
+def looks() -> list[Column]:
+    """What tells persons apart, coarsely: the starts of the names in any order, and the date."""
+    starts = F.array_sort(F.array_distinct(F.transform(F.concat("f", "l"), lambda w: F.substring(w["t"], 1, 2))))
+    return [F.when(F.size(starts) > 0, F.array_join(starts, " ")), F.concat_ws("-", "dt.y", "dt.m", "dt.d")]
+
+
+def without_shared_ids(df: DataFrame, uid: str = "uid", most: int = UID_LOOKS, by: list[Column] | None = None) -> DataFrame:
+    """Identifiers that stand for more than ``most`` persons identify nobody (defaults, test values) and become unknown; all records stay.
+
+    How many persons an identifier stands for is told by every look in ``by`` (default: each other column) that at least half of its records
+    have: the effective number of its values, (sum of n)^2 / sum of n^2. It depends on how the values are spread, not on how many records
+    there are: one person's identifier stays evidence on any number of records. All looks have to tell more than ``most``.
+    """
     known = df.where(F.col(uid).isNotNull())
-    shared = cut(known.groupBy(uid).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most).select(uid))
+    values = [F.col(c).cast("string") for c in df.columns if c != uid] if by is None else by
+    rows = known.select(F.col(uid).alias("_uid"), F.posexplode(F.array(*[F.when(v != "", v) for v in values])).alias("_look", "_value"))
+    counts = rows.groupBy("_uid", "_look", "_value").agg(F.count(F.lit(1)).cast("double").alias("_n"))  # counts of parts add up, so large groups never meet as rows
+    had = F.col("_value").isNotNull()
+    n = F.sum(F.when(had, F.col("_n")))
+    told = counts.groupBy("_uid", "_look").agg((n * n / F.sum(F.when(had, F.col("_n") * F.col("_n")))).alias("_persons"), (2 * n >= F.sum("_n")).alias("_enough"))
+    least = told.where("_enough").groupBy("_uid").agg(F.min("_persons").alias("_persons"))
+    shared = cut(least.where(F.col("_persons") > most).select(F.col("_uid").alias(uid)))
     if shared.isEmpty():
         return df
     kept = known.join(shared, uid, "left_anti")
