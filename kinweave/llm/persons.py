@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.address import QUALIFIERS
+from kinweave.functions.address import ORDINAL_OF, QUALIFIERS
 from kinweave.llm.address import fold
 from kinweave.runtime import cut
 
@@ -107,9 +107,9 @@ def read_gender(code: Column) -> Column:
 
 
 def street_fold(name: Column) -> Column:
-    """Street name for comparison: folded, without blanks, qualifiers spelled out; null if it is no street."""
+    """Street name for comparison: folded, without blanks, qualifiers spelled out, ordinals in figures; null if it is no street."""
     s = F.upper(F.trim(F.coalesce(name, F.lit(""))))
-    for short, full in QUALIFIERS.items():
+    for short, full in (QUALIFIERS | ORDINAL_OF).items():
         if short != full:
             s = F.regexp_replace(s, rf"\b{short}\b", full)
     s = F.regexp_replace(s, r"[^\p{L}\p{N}]", "")
