@@ -249,6 +249,7 @@ def quantiles(sketches: DataFrame) -> DataFrame:
 
 def tail_scores(stats: DataFrame) -> DataFrame:
     """``stats`` with z_<stat>, the robust z-score of each statistic within its language: (value - median) / (IQR / 1.349), spread bounded below.
+    For the share of sentences the upper half of the IQR counts twice, so that lists and junk don't widen it.
 
     Texts whose language nothing tells ('und', mostly junk) are held against the sketch of all texts, the sum of the others.
     """
@@ -259,7 +260,9 @@ def tail_scores(stats: DataFrame) -> DataFrame:
     out = joined
     for s in STATS:
         q = F.element_at("q", F.lit(s))
-        spread = F.greatest((q["q75"] - q["q25"]) / 1.349, F.lit(LEAST_SPREAD.get(s, 0.03)))
+        # Much junk widens the quartiles to both kinds; of sentences prose has the larger share, so the upper half is its own.
+        width = 2 * (q["q75"] - q["q50"]) if s == "sentence_share" else q["q75"] - q["q25"]
+        spread = F.greatest(width / 1.349, F.lit(LEAST_SPREAD.get(s, 0.03)))
         out = out.withColumn(f"z_{s}", (F.col(s) - q["q50"]) / spread)
     return out.drop("q")
 

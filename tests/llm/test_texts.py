@@ -133,3 +133,11 @@ def test_sketches_add_up(spark):
     q = {r["stat"]: r["q50"] for r in quality.quantiles(quality.quantile_sketches(stats)).where("lang = 'en'").collect()}
     exact = sorted(r[0] for r in stats.where("lang = 'en'").select("n_words").collect())
     assert q["n_words"] == pytest.approx(exact[(len(exact) - 1) // 2], rel=0.03)
+
+
+def test_a_third_of_lists_does_not_hide_them(spark):
+    stats = [tuple([i, "en"] + [1.0 + i % 3] * (len(quality.STATS) - 1) + [0.1 if i % 3 == 0 else 0.97 + i % 5 / 200]) for i in range(300)]
+    df = spark.createDataFrame(stats, "doc_id long, lang string, " + ", ".join(f"{s} double" for s in quality.STATS))
+    assert quality.STATS[-1] == "sentence_share"
+    scored = quality.tail_scores(df).where("doc_id % 3 = 0")
+    assert scored.where(f"abs(z_sentence_share) >= {quality.TAIL}").count() == 100
