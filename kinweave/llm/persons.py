@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +38,8 @@ VIRGINIA GINNY GINGER, ANNA ANN ANNIE NAN, LAURA LAURIE LORI, ALICE ALLIE, EDITH
 #: Different persons, by the look of names and of dates, that an identifier may stand for (slips and nicknames look different too); one that
 #: stands for more is a default or test value.
 UID_LOOKS = 10
+#: Words held by at most this share of the records are equally rare.
+COMMON_SHARE = 1e-5
 #: Rows of a helper table (nicknames) that may become a literal map; a larger one is refused.
 HELPER_ROWS = 20_000
 
@@ -164,22 +168,36 @@ def token_sim(a: Column, b: Column) -> Column:
     )
 
 
-def best_sim(a: Column, b: Column) -> Column:
-    """Best similarity of any word of one list with any of the other; null if a list is empty."""
-    return F.array_max(F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: token_sim(x, y)))))
+def with_word_counts(df: DataFrame, key: str = "id") -> DataFrame:
+    """Gives every word of f and l its n, the number of records whose names hold it, at least COMMON_SHARE of all records.
+
+    Only words above that share are looked up: they are at most 1 / COMMON_SHARE times the mean number of words of a record, so their table is
+    broadcast (some MB); a word held by a third of all records is one row of it. All records are counted.
+    """
+    said = df.select(key, F.explode(F.array_distinct(F.transform(F.concat("f", "l"), lambda w: w["t"]))).alias("t"))
+    least = max(1.0, COMMON_SHARE * df.count())
+    common = said.groupBy("t").agg(F.count(F.lit(1)).cast("double").alias("n")).where(F.col("n") > least)
+    of = said.join(F.broadcast(common), "t").groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("t", "n"))).alias("_n"))  # words of one record
+    counted = lambda c: F.transform(c, lambda w: F.struct(w["t"].alias("t"), w["s"].alias("s"), w["alts"].alias("alts"), F.coalesce(F.try_element_at("_n", w["t"]), F.lit(least)).alias("n")))
+    return df.join(of, key, "left").withColumns({"f": counted("f"), "l": counted("l")}).drop("_n")
+
+
+def best_match(a: Column, b: Column) -> Column:
+    """Struct (sim, n) of the two most similar words of two lists, n being the count of the more frequent one; null if a list is empty."""
+    return F.array_max(F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: F.struct(token_sim(x, y).alias("sim"), F.greatest(x["n"], y["n"]).alias("n"))))))
 
 
-def with_name_evidence(pairs: DataFrame) -> DataFrame:
-    """Adds fs and ls, similarity of first and last names (null where one lacks it), in the order of parts that agrees better."""
-    one = F.struct(F.struct(best_sim(F.col("f_1"), F.col("f_2")).alias("fs"), best_sim(F.col("l_1"), F.col("l_2")).alias("ls")).alias("same"))
-    df = pairs.withColumn("_same", one["same"])
-    swapped = F.struct(best_sim(F.col("f_1"), F.col("l_2")).alias("fs"), best_sim(F.col("l_1"), F.col("f_2")).alias("ls"))
-    total = lambda s: F.coalesce(s["fs"], F.lit(0.0)) + F.coalesce(s["ls"], F.lit(0.0))
+def with_name_evidence(pairs: DataFrame, match: Callable[[Column, Column], Column] = best_match) -> DataFrame:
+    """Adds fs and ls, similarity of first and last names (null where one lacks it), in the order of parts that agrees better, and fn and ln,
+    how many records hold the words that agree."""
+    df = pairs.withColumn("_same", F.struct(match(F.col("f_1"), F.col("f_2")).alias("f"), match(F.col("l_1"), F.col("l_2")).alias("l")))
+    swapped = F.struct(match(F.col("f_1"), F.col("l_2")).alias("f"), match(F.col("l_1"), F.col("f_2")).alias("l"))
+    total = lambda s: F.coalesce(s["f"]["sim"], F.lit(0.0)) + F.coalesce(s["l"]["sim"], F.lit(0.0))
     # the other order only where the given one does not already agree
     df = df.withColumn("_swap", F.when(total(F.col("_same")) < 1.7, swapped))
     use = F.when(F.col("_swap").isNotNull() & (total(F.col("_swap")) > total(F.col("_same")) + 0.1), F.col("_swap")).otherwise(F.col("_same"))
     df = df.withColumn("_use", use)
-    return df.withColumn("fs", F.col("_use.fs")).withColumn("ls", F.col("_use.ls")).drop("_same", "_swap", "_use")
+    return df.withColumns({"fs": F.col("_use.f.sim"), "ls": F.col("_use.l.sim"), "fn": F.col("_use.f.n"), "ln": F.col("_use.l.n")}).drop("_same", "_swap", "_use")
 
 
 def date_evidence(a: Column, b: Column) -> Column:
@@ -192,7 +210,6 @@ def date_evidence(a: Column, b: Column) -> Column:
         .when(y & (a["m"] == b["d"]) & (a["d"] == b["m"]), "turned")
         .when(plain, F.when(y, "default").otherwise("other"))
         .when((y & (m | d)) | (m & d), "near")
-        .when(m & d | (y & F.lit(False)), "near")
         .when((F.abs(a["y"] - b["y"]) <= 1) & ((a["m"] == b["d"]) & (a["d"] == b["m"])), "near")
         .when(y, "year")
         .otherwise("other")
