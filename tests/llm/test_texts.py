@@ -107,19 +107,23 @@ JUNK = [
 ]
 
 
-def test_sentence_share():
+FRENCH = ["Le juge lava deux manteaux au port. Hier, le berger vendit une chaise vide à la gare.", "La fenêtre était vieille, et le juge la porta au port.", "Le maire compta les lettres sur la colline ; puis il oublia la clé.", "Pourquoi le tailleur ne vit-il pas que le greffier l'avait ?"]
+
+
+def test_statistics_of_texts():
     common = quality.common_words(None)
-    for t in PROSE:
-        assert quality.statistics(t, common)[-1] >= quality.PROSE, t
-    for t in JUNK:
-        assert quality.statistics(t, common)[-1] < quality.PROSE, t
-    assert [quality.statistics(t, common) for t in (None, "", " \n\t", " ​")] == [None] * 4
+    got = dict(zip(["lang", *quality.STATS], quality.statistics("The cat saw 12 dogs, and it ran. Why?\n- milk\n- bread", common)))
+    assert (got["lang"], got["n_words"], got["words_per_line"]) == ("en", 10.0, 10 / 3) and got["line_end_ratio"] == 1 / 3
+    assert got["digit_ratio"] == 2 / 40 and got["closed_ratio"] == 25 / 40 and got["comma_ratio"] == 0.1
+    assert got["short_lines"] == pytest.approx(math.log(3)) and got["common_gap"] == pytest.approx(math.log(5)) and got["longest_word"] == 5.0
+    assert [quality.statistics(t, common) for t in (None, "", " \n\t", " ​")] == [None] * 4
 
 
 def test_no_prose(spark):
-    texts = PROSE * 6 + JUNK + [None, "", "  ", "long text. " * 20_000]
+    prose = [*PROSE, *FRENCH] * 6  # tails are told by the prose of a language, so there has to be some
+    texts = prose + JUNK + [None, "", "  ", "long text. " * 20_000]
     got = {r[0] for r in quality.no_prose(documents(spark, texts)).collect()}
-    assert set(range(len(PROSE) * 6, len(PROSE) * 6 + len(JUNK))) <= got and not got & set(range(len(PROSE) * 6))
+    assert set(range(len(prose), len(prose) + len(JUNK))) <= got and not got & set(range(len(prose)))
     assert not got & set(range(len(texts) - 4, len(texts) - 1))
     assert quality.no_prose(documents(spark, [])).count() == 0
 
@@ -136,8 +140,15 @@ def test_sketches_add_up(spark):
 
 
 def test_a_third_of_lists_does_not_hide_them(spark):
-    stats = [tuple([i, "en"] + [1.0 + i % 3] * (len(quality.STATS) - 1) + [0.1 if i % 3 == 0 else 0.97 + i % 5 / 200]) for i in range(300)]
+    flat = {s: 1.0 for s in quality.STATS}
+    stats = [(i, "en", *{**flat, "closed_ratio": 0.1 if i % 3 == 0 else 0.97 + i % 5 / 200, "short_lines": 3.0 if i % 3 == 0 else 0.0, "piece_words": 5.0 if i % 3 == 0 else 2.5 + i % 4 / 10}.values()) for i in range(300)]
     df = spark.createDataFrame(stats, "doc_id long, lang string, " + ", ".join(f"{s} double" for s in quality.STATS))
-    assert quality.STATS[-1] == "sentence_share"
-    scored = quality.tail_scores(df).where("doc_id % 3 = 0")
-    assert scored.where(f"abs(z_sentence_share) >= {quality.TAIL}").count() == 100
+    got = {r[0] for r in quality.tail_scores(df).where(f"tail_sum >= {quality.NO_PROSE}").select("doc_id").collect()}
+    assert got == set(range(0, 300, 3))
+
+
+def test_tails_decide(spark, monkeypatch):
+    docs = documents(spark, PROSE * 6 + JUNK)
+    some = quality.no_prose(docs).count()
+    monkeypatch.setattr(quality, "DEPTH", 0.0)
+    assert some > 0 and quality.no_prose(docs).count() == 0
