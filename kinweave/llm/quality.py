@@ -37,7 +37,7 @@ TAILS = {
     "common_gap": ("high", 1.0), "longest_word": ("high", 1.0), "short_lines": ("high", 1.0), "short_pieces": ("high", 0.5),
 }
 #: A tail begins at this robust z-score and counts up to DEPTH beyond it; weighted sum of tails from which a document is no prose.
-BEGIN, DEPTH, NO_PROSE = 1.0, 4.0, 8.0
+BEGIN, DEPTH, NO_PROSE = 1.0, 4.0, 7.5
 #: Least spread of each statistic, so that a language whose texts all agree doesn't make every other value an outlier.
 LEAST_SPREAD = {"n_words": 10.0, "mean_word_length": 0.5, "words_per_line": 3.0, "piece_words": 0.2, "separator_rate": 0.05, "common_gap": 0.3, "longest_word": 2.0, "short_lines": 0.3, "short_pieces": 0.3}
 #: Words of a short line, and of a short piece (of Han signs: signs).
