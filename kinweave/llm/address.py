@@ -18,8 +18,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kinweave.functions.address import DIRECTIONS, NUMBER_OF, ORDINAL_OF, QUALIFIERS, TYPE_OF, UNIT_WORDS, address_parts
+from kinweave.functions.address import NUMBER_OF
 from kinweave.llm.minhash import bands_for, padded_qgrams, with_band_keys
+from kinweave.llm.streets import DIRECTIONS, ORDINAL_OF, QUALIFIERS, TYPE_OF, UNIT_WORDS, address_parts, street_types
 from kinweave.runtime import cut, dedup_latest, plain_strings, spread
 
 #: Similarity of the shingle sets of two spellings that banding has to find, with this recall, in bands of this many hashes.
@@ -62,13 +63,13 @@ def learn_towns(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     vocabulary = vocabulary.where(~F.col("w").isin(*sorted(NO_STREET)))
     # Slips: words that share a one-letter deletion with a town's name are at most two slips away.
     def deletions(c: str) -> Column:
-        return F.array_distinct(F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.lit(100))))))
+        return F.array_distinct(F.concat(F.array(F.col(c)), F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.concat(F.substring(F.col(c), F.lit(1), i - 1), F.substring(F.col(c), i + 1, F.length(c))))))
     near = vocabulary.select("w", F.explode(deletions("w")).alias("v")).join(names.select("town", F.explode(deletions("town")).alias("v")), "v").select("w", "town").distinct()
     near = near.withColumn("far", F.levenshtein("w", "town")).where((F.col("far") <= 2) & (F.least(F.length("w"), F.length("town")) >= 4 + F.col("far")))
     return codes, cut(near.groupBy("w").agg(F.min_by("town", F.struct("far", "town")).alias("town")))
 
 
-def read_texts(texts: DataFrame, codes: DataFrame, words: DataFrame) -> DataFrame:
+def read_texts(texts: DataFrame, codes: DataFrame, words: DataFrame, types: dict[str, str] = TYPE_OF) -> DataFrame:
     """norm -> number, dir, name, type, words of the name, town (null if the text names none); texts that are no address are left out."""
     said = texts.select("norm", F.explode(F.array_distinct(address_words(F.col("norm")))).alias("w"))
     by_word = said.join(words, "w").groupBy("norm").agg(F.collect_set("w").alias("town_words"), F.min("town").alias("by_word"))  # words of one text
@@ -76,8 +77,8 @@ def read_texts(texts: DataFrame, codes: DataFrame, words: DataFrame) -> DataFram
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [address_parts(t, frozenset(() if w is None else w)) for t, w in zip(pdf["norm"], pdf["town_words"])]
-            out = pd.DataFrame([(n, d, "".join(ws), k, c, " ".join(map(canonical, ws))) for n, d, ws, k, c in rows], columns=["number", "dir", "name", "type", "code", "words"])
+            rows = [address_parts(t, frozenset(() if w is None else w), types) for t, w in zip(pdf["norm"], pdf["town_words"])]
+            out = pd.DataFrame([(n, d, "".join(ws), k, c, " ".join(canonical(x, types) for x in ws)) for n, d, ws, k, c in rows], columns=["number", "dir", "name", "type", "code", "words"])
             out.insert(0, "norm", pdf["norm"].to_numpy())
             out["by_word"] = pdf["by_word"].to_numpy()
             yield plain_strings(out[out["number"] != ""])
@@ -99,7 +100,7 @@ def with_coordinate_towns(rows: DataFrame) -> DataFrame:
     return rows.join(found, ["lat", "lon"], "left").withColumn("town", F.coalesce("town", "near_town")).drop("near_town")
 
 
-def align(a: list[str], b: list[str]) -> float:
+def align(a: list[str], b: list[str], types: dict[str, str] = TYPE_OF) -> float:
     """Affine-gap alignment cost of two token lists (Gotoh); 0 for equal ones. Gaps on both sides never stand in for a contradiction."""
     big = 1e9
     n, m = len(a), len(b)
@@ -111,30 +112,30 @@ def align(a: list[str], b: list[str]) -> float:
     for i in range(n + 1):
         for j in range(m + 1):
             if i:
-                up[i][j] = min(pair[i - 1][j] + gap_cost(a[i - 1], GAP_OPEN), up[i - 1][j] + gap_cost(a[i - 1], GAP_EXTEND))
+                up[i][j] = min(pair[i - 1][j] + gap_cost(a[i - 1], GAP_OPEN, types), up[i - 1][j] + gap_cost(a[i - 1], GAP_EXTEND, types))
             if j:
-                left[i][j] = min(pair[i][j - 1] + gap_cost(b[j - 1], GAP_OPEN), left[i][j - 1] + gap_cost(b[j - 1], GAP_EXTEND))
+                left[i][j] = min(pair[i][j - 1] + gap_cost(b[j - 1], GAP_OPEN, types), left[i][j - 1] + gap_cost(b[j - 1], GAP_EXTEND, types))
             if i and j:
-                pair[i][j] = best[i - 1][j - 1] + token_cost(a[i - 1], b[j - 1])
+                pair[i][j] = best[i - 1][j - 1] + token_cost(a[i - 1], b[j - 1], types)
             best[i][j] = min(pair[i][j], up[i][j], left[i][j])
     return best[n][m]
 
 
-def canonical(w: str) -> str:
+def canonical(w: str, types: dict[str, str] = TYPE_OF) -> str:
     """The one form of a word and its abbreviations."""
     w = DIRECTIONS.get(w, QUALIFIERS.get(w, ORDINAL_OF.get(w, w)))
-    return TYPE_OF.get(w, w)
+    return types.get(w, w)
 
 
-def gap_cost(w: str, part: float) -> float:
+def gap_cost(w: str, part: float, types: dict[str, str] = TYPE_OF) -> float:
     """``part`` for types and directions, which people leave out; a word of the name tells streets apart."""
-    return part if w in TYPE_OF or w in DIRECTIONS else CLASH
+    return part if w in types or w in DIRECTIONS else CLASH
 
 
-def spelling_cost(a: str, b: str) -> float:
+def spelling_cost(a: str, b: str, types: dict[str, str] = TYPE_OF) -> float:
     """Alignment cost of two names (words parted by blanks): word by word; as one word each if blanks may have been typed inside a word."""
     x, y = a.split(), b.split()
-    return align(x, y) if len(x) == len(y) else token_cost("".join(x), "".join(y))
+    return align(x, y, types) if len(x) == len(y) else token_cost("".join(x), "".join(y), types)
 
 
 def slips(a: str, b: str) -> int:
@@ -151,18 +152,18 @@ def slips(a: str, b: str) -> int:
     return row[-1]
 
 
-def token_cost(a: str, b: str) -> float:
+def token_cost(a: str, b: str, types: dict[str, str] = TYPE_OF) -> float:
     """0 for one word and its abbreviations; a share of the letters for slips; CLASH for contradicting types, directions and ordinals."""
     a, b = (DIRECTIONS.get(x, QUALIFIERS.get(x, ORDINAL_OF.get(x, x))) for x in (a, b))
-    if a == b or TYPE_OF.get(a, a) == TYPE_OF.get(b, b):
+    if a == b or types.get(a, a) == types.get(b, b):
         return 0.0
-    if a in TYPE_OF or b in TYPE_OF or min(len(a), len(b)) < 4 or a[0].isdigit() or b[0].isdigit():
+    if a in types or b in types or min(len(a), len(b)) < 4 or a[0].isdigit() or b[0].isdigit():
         return CLASH
     d = slips(a, b)
     return min(CLASH, 3.0 * d / max(len(a), len(b))) if d <= 2 or 4 * d <= max(len(a), len(b)) else CLASH
 
 
-def street_spellings(rows: DataFrame) -> DataFrame:
+def street_spellings(rows: DataFrame, types: dict[str, str] = TYPE_OF) -> DataFrame:
     """(town, name) -> (street_town, street): one name per street and town; spellings without a town join one where only one town fits."""
     spelled = cut(rows.groupBy("town", "name").agg(F.count(F.lit(1)).alias("n"), F.mode("words", True).alias("words")))
     # A spelling without a town that is spelled just like one with a town needs no near one.
@@ -194,7 +195,7 @@ def street_spellings(rows: DataFrame) -> DataFrame:
 
     def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            pdf["cost"] = [spelling_cost(x, y) for x, y in zip(pdf["words_a"], pdf["words_b"])]
+            pdf["cost"] = [spelling_cost(x, y, types) for x, y in zip(pdf["words_a"], pdf["words_b"])]
             yield plain_strings(pdf[pdf["cost"] <= MOST].drop(columns=["words_a", "words_b"]))
 
     edges = cut(spread(cand).mapInPandas(verify, "town_a string, name_a string, n_a long, town_b string, name_b string, n_b long, cost double"))
@@ -237,11 +238,11 @@ def fill_parts(rows: DataFrame) -> DataFrame:
     return cut(filled(rows, [*street, "number", "type"], "dir", "type"))
 
 
-def locate(raw: DataFrame) -> DataFrame:
+def locate(raw: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """row_id, norm, number, street_town, street, dir, type of every row of raw_data with a real address.
 
     A row_id delivered more than once is one row (the last loaded). Null, empty and blank addresses, words in place of an address and
-    texts without a house number have no location. Columns other than row_id, address, latlon, lat, lon and loaded_at are not read.
+    texts without a house number have no location. ``types`` is a helper table (type_name, written). Columns other than row_id, address, latlon, lat, lon and loaded_at are not read.
     """
     one = dedup_latest(raw.select("row_id", "address", "latlon", "lat", "lon", "loaded_at"), "row_id", ["loaded_at"])
     xy = F.split(F.trim(F.coalesce("latlon", F.lit(""))), r"[^\d\-]+")
@@ -251,20 +252,21 @@ def locate(raw: DataFrame) -> DataFrame:
     rows = cut(rows)
     texts = cut(rows.select("norm").distinct())
     codes, words = learn_towns(texts)
-    parsed = cut(read_texts(texts, codes, words))
+    known_types = street_types(types)
+    parsed = cut(read_texts(texts, codes, words, known_types))
     placed = cut(with_coordinate_towns(rows.join(parsed, "norm")))
-    streets = street_spellings(placed)
+    streets = street_spellings(placed, known_types)
     known = placed.alias("p").join(streets.alias("s"), F.col("p.town").eqNullSafe(F.col("s.town")) & (F.col("p.name") == F.col("s.name")))
     known = known.select("p.row_id", "p.norm", "p.number", F.coalesce("s.street_town", F.lit("")).alias("street_town"), "s.street", "p.dir", "p.type")
     return fill_parts(known)
 
 
-def same_location_pairs(raw: DataFrame) -> DataFrame:
+def same_location_pairs(raw: DataFrame, types: DataFrame | None = None) -> DataFrame:
     """(row_id_1, row_id_2): rows at one location whose addresses differ after lower-casing and trimming; row_id_1 < row_id_2.
 
     See ``locate`` for nulls, empties and repeats; an empty table gives an empty result.
     """
-    at = cut(locate(raw).select("row_id", "norm", F.xxhash64("number", "street_town", "street", "dir", "type").alias("place")))
+    at = cut(locate(raw, types).select("row_id", "norm", F.xxhash64("number", "street_town", "street", "dir", "type").alias("place")))
     a, b = at.alias("a"), at.alias("b")
     pairs = a.join(b, (F.col("a.place") == F.col("b.place")) & (F.col("a.row_id") < F.col("b.row_id")) & (F.col("a.norm") != F.col("b.norm")))
     return pairs.select(F.col("a.row_id").alias("row_id_1"), F.col("b.row_id").alias("row_id_2"))

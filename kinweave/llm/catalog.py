@@ -35,7 +35,7 @@ def p4_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return address.same_location_pairs(t(spark, d, "raw_data"))
+    return address.same_location_pairs(t(spark, d, "raw_data"), t(spark, d, "street_types"))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,6 +50,13 @@ def p9_packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_documents(t(spark, d, "documents"))
 
 
+def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
+    """Containers whose windows hold equal shares of tokens of all sources: window, source, its tokens and their share."""
+    docs = t(spark, d, "documents")
+    sources = [r[0] for r in docs.select(F.coalesce("source", F.lit(""))).distinct().limit(packing.MOST_SOURCES + 1).collect()]
+    return packing.mixture_report(docs, dict.fromkeys(sources, 1.0))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return quality.no_prose(t(spark, d, "documents"), t(spark, d, "common_words"))
 
@@ -59,7 +66,7 @@ def p10_stats(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p3_found, p4_found, p4_counts, p5_found, p7_found, p8_ids, p9_packed, p10_found, p10_stats)}
+    return {f.__name__: f for f in (p1_found, p1_confidence, p2_found, p3_found, p4_found, p4_counts, p5_found, p7_found, p8_ids, p9_packed, p9_mixture, p10_found, p10_stats)}
 
 
 TERMS = r"""

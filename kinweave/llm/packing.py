@@ -20,6 +20,8 @@ from kinweave.llm.bpe import encode_corpus
 from kinweave.runtime import cut, parallelism, plain_strings
 
 CAPACITY = 2_048
+#: Sources that a target mixture may name.
+MOST_SOURCES = 1_000
 #: Containers a window is meant to fill, and windows whose leftovers one group of the next level joins.
 WINDOW_CONTAINERS, FAN_IN = 64, 64
 #: Containers of a window that may go on to the next level; bounds the groups there by FAN_IN * CARRIED containers.
@@ -113,6 +115,8 @@ def pack_items(items: DataFrame, capacity: int = CAPACITY, mixture: dict[str, fl
     while not last:
         last = n_windows <= 1
 
+        # By the number of windows, not by bytes: packing costs much per row, and small tables would end in a single task.
+        queued = queued.repartition(min(n_windows, parallelism(queued.sparkSession)), "win")
         packed = cut(queued.groupBy("win").applyInPandas(packer(capacity, level, last), f"key {kind}, source string, piece int, start long, size long, win long, carried boolean, container string"))
         done.append(packed.where(~F.col("carried")))
         queued = packed.where("carried").select("key", "source", "piece", "start", "size", F.floor(F.col("win") / F.lit(FAN_IN)).cast("long").alias("win"))
@@ -130,3 +134,17 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, path: str | None =
     lens = cut(encode_corpus(docs, path=path, lengths_only=True, carry=["source"]))
     packed = pack_items(lens.select(F.col("doc_id").alias("key"), "source", F.col("n_tokens").alias("size")), capacity, mixture)
     return packed.select(F.col("key").alias("doc_id"), "piece", "start", F.col("size").alias("n_tokens"), F.col("container").alias("container_id"))
+
+
+def mixture_report(docs: DataFrame, mixture: dict[str, float], capacity: int = CAPACITY, path: str | None = None) -> DataFrame:
+    """(win, source, n_tokens, share): the tokens of each source in each window of the target ``mixture``, and their share of the window.
+
+    While all queues last, shares follow the mixture up to one item; windows after the end of a queue hold what the others have left.
+    """
+    if len(mixture) > MOST_SOURCES:
+        raise ValueError("too many sources for a mixture")
+    lens = cut(encode_corpus(docs, path=path, lengths_only=True, carry=["source"]))
+    items = lens.select(F.col("doc_id").alias("key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("n_tokens").cast("long").alias("size"))
+    queued, _ = windows_of(items, capacity, mixture)
+    by = queued.groupBy("win", "source").agg(F.sum("size").alias("n_tokens"))
+    return by.select("win", "source", "n_tokens", (F.col("n_tokens") / F.sum("n_tokens").over(Window.partitionBy("win"))).alias("share"))  # a row per source

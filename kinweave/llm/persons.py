@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinweave.functions.address import ORDINAL_OF, QUALIFIERS
 from kinweave.llm.address import fold
+from kinweave.llm.streets import ORDINAL_OF, QUALIFIERS
 from kinweave.runtime import cut
 
 # Words that stand for no name, titles and suffixes.
