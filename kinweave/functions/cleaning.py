@@ -139,7 +139,7 @@ def parse_address(address: Column) -> Column:
     words = F.split(a, " ")
     spoken = F.create_map(*[F.lit(x) for w, n in NUMBER_OF.items() for x in (w.lower(), n)])
     first = F.coalesce(F.element_at(spoken, words[0]), F.regexp_extract(words[0], r"^(\d+)[a-z]?$", 1))
-    rest = F.when(first != "", F.slice(words, 2, 1_000)).otherwise(words)
+    rest = F.when(first != "", F.slice(words, 2, F.size(words))).otherwise(words)
     types = F.create_map(*[F.lit(x) for short, long in ADDRESS_TYPES.items() for x in (short, long, long, long)])
     kind = F.coalesce(F.when(F.size(rest) > 1, F.element_at(types, F.try_element_at(rest, F.lit(-1)))), F.lit(""))
     name = F.array_join(F.when(kind != "", F.slice(rest, 1, F.greatest(F.size(rest) - 1, F.lit(0)))).otherwise(rest), " ")
@@ -158,3 +158,22 @@ def name_part(blockstring: Column) -> Column:
 
 def date_part(blockstring: Column) -> Column:
     return F.regexp_replace(blockstring, r"[A-Z ]*::[A-Z ]*::", "")
+
+
+def sql_functions() -> dict[str, str]:
+    """Definitions of kw_clean_name(text) and kw_parse_address(text) in SQL, the same as ``clean_name`` and ``parse_address``."""
+    x = "coalesce(x, '')"
+    for suffix in NAME_SUFFIXES:
+        x = rf"regexp_replace({x}, r'\b{suffix}\b', '')"
+    as_map = lambda d: "map(" + ", ".join(f"'{k}', '{v}'" for k, v in d.items()) + ")"
+    spoken, types = as_map({w.lower(): n for w, n in NUMBER_OF.items()}), as_map(ADDRESS_TYPES | {t: t for t in ADDRESS_TYPES.values()})
+    a = r"trim(regexp_replace(trim(regexp_replace(lower(trim(coalesce(x, ''))), r'[.,#]+', ' ')), r'\s+', ' '))"
+    words = f"split(CASE WHEN {a} IN ('redacted', 'redact') THEN '' ELSE {a} END, ' ')"
+    first = rf"coalesce(element_at({spoken}, {words}[0]), regexp_extract({words}[0], r'^(\d+)[a-z]?$', 1))"
+    rest = f"CASE WHEN {first} <> '' THEN slice({words}, 2, size({words})) ELSE {words} END"
+    kind = f"coalesce(CASE WHEN size({rest}) > 1 THEN element_at({types}, try_element_at({rest}, -1)) END, '')"
+    name = f"array_join(CASE WHEN {kind} <> '' THEN slice({rest}, 1, greatest(size({rest}) - 1, 0)) ELSE {rest} END, ' ')"
+    return {
+        "kw_clean_name": f"(x STRING) RETURNS STRING RETURN regexp_replace(trim(regexp_replace({x}, '[^A-Z ]', '')), ' +', ' ')",
+        "kw_parse_address": f"(x STRING) RETURNS STRUCT<number: STRING, name: STRING, type: STRING> RETURN named_struct('number', {first}, 'name', {name}, 'type', {kind})",
+    }

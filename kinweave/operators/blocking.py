@@ -145,8 +145,8 @@ def similar_names(vectors: DataFrame, bar: float, ordered: bool = True, queries:
 
 
 def nearest_names(pairs: DataFrame, k: int = 500) -> DataFrame:
-    """The k nearest names of each nn_string_1, ties by nn_string_2; pairs in both directions."""
-    w = Window.partitionBy("nn_string_1").orderBy("cos_dist", "nn_string_2")
+    """The k nearest names of each nn_string_1, ties (to nine digits) by nn_string_2; pairs in both directions."""
+    w = Window.partitionBy("nn_string_1").orderBy(F.round("cos_dist", 9), "nn_string_2")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
@@ -159,6 +159,13 @@ def one_direction(pairs: DataFrame, queried: DataFrame | None = None) -> DataFra
     return in_order.unionByName(pairs.where(one > two).join(queried.select(F.col("nn_string").alias("nn_string_2")), "nn_string_2", "left_anti").select(*pairs.columns))
 
 
+def either_direction(pairs: DataFrame) -> DataFrame:
+    """Each pair once, in order of nn_string + '::', also one that is only among the nearest of one of its names."""
+    first = F.concat("nn_string_1", F.lit("::")) < F.concat("nn_string_2", F.lit("::"))
+    a, b = F.col("nn_string_1"), F.col("nn_string_2")
+    return pairs.select(F.when(first, a).otherwise(b).alias("nn_string_1"), F.when(first, b).otherwise(a).alias("nn_string_2"), "cos_dist").distinct()
+
+
 def filter_pairs(pairs: DataFrame, expanded: DataFrame, thresholds: dict, same_name: bool = False) -> DataFrame:
     """Blockstring pairs that pass one of three bars on name distance, edit distance of dates, and, without dates, difference in age.
 
@@ -197,9 +204,9 @@ def candidate_pairs(names: DataFrame, params: Parameters) -> DataFrame:
     expanded = cut(expanded_strings(split))
     vectors = cut(unit_vectors(shingles(info, scheme["alpha"], scheme["power"])))
     queries = info.where(F.col("n_new") > 0) if params.incremental else None
-    near = similar_names(vectors, max(t["low_cosine_bar"], t["high_cosine_bar"], t["nodob_cosine_bar"]), ordered=not params.incremental, queries=queries)
-    if params.incremental:
-        near = one_direction(cut(near), queries)
+    near = similar_names(vectors, max(t["low_cosine_bar"], t["high_cosine_bar"], t["nodob_cosine_bar"]), ordered=False, queries=queries)
+    near = cut(nearest_names(near, params.neighbours).drop("rank"))
+    near = one_direction(near, queries) if params.incremental else either_direction(near)
     penalty = lambda i: info.select(F.col("nn_string").alias(f"nn_string_{i}"), F.col("commonness_penalty").alias(f"commonness_penalty_{i}"))
     near = near.join(penalty(1), "nn_string_1").join(penalty(2), "nn_string_2")
     exact = exact_name_pairs(info if queries is None else queries)

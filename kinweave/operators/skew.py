@@ -19,8 +19,8 @@ from kinweave.runtime import cut, parallelism
 CHUNK_ROWS = 100_000
 
 
-def running_total(df: DataFrame, order: list[str], value: str, out: str) -> DataFrame:
-    """Exclusive prefix sum of ``value`` over the total order ``order``, as column ``out``; ``order`` must be unique.
+def running_total(df: DataFrame, order: list[str], value: str, out: str, kind: str = "long") -> DataFrame:
+    """Exclusive prefix sum of ``value`` over the total order ``order``, as column ``out`` of type ``kind``; ``order`` must be unique.
 
     Range partitions are summed one by one; only one sum per partition reaches the driver, and a window per partition adds the rest.
     An empty table stays empty. Null values count as 0.
@@ -35,7 +35,7 @@ def running_total(df: DataFrame, order: list[str], value: str, out: str) -> Data
         base += r["s"]
     base_of = F.create_map(*[F.lit(x) for kv in bases.items() for x in kv])[F.col("_pid")] if bases else F.lit(0)
     w = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return ranged.withColumn(out, (base_of + F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(w), F.lit(0))).cast("long")).drop("_pid")
+    return ranged.withColumn(out, (base_of + F.coalesce(F.sum(F.coalesce(F.col(value), F.lit(0))).over(w), F.lit(0))).cast(kind)).drop("_pid")
 
 
 def number_rows(df: DataFrame, keys: list[str]) -> DataFrame:

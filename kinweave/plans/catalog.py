@@ -164,8 +164,11 @@ def must_links_incremental(spark, d):
 
 @query(S.MUST_LINKS_TWO)
 def must_links_two_ids(spark, d):
-    two = people(spark, d).withColumn("key2", F.when((F.col("drop_from_nm") == 0) & F.col("blockstring").rlike(r"\d$"), F.col("blockstring")).otherwise(""))
-    return mustlinks.must_links(two.where(~F.col("blockstring").rlike("^UNKNOWN|^TEST|^BABY")), ["uid", "key2"]).select("record_id_1", "record_id_2")
+    """A second identifier of blockstring and house number, unknown without a number or a date."""
+    number = C.text("address_street_number")
+    key2 = F.when((number != "") & C.text("blockstring").rlike(r"\d$"), F.concat_ws("|", "blockstring", number)).otherwise("")
+    two = an(spark, d).select("record_id", C.text("blockstring").alias("blockstring"), "drop_from_nm", C.text("file_type").alias("file_type"), C.text("uid").alias("uid"), key2.alias("key2")).distinct()
+    return mustlinks.must_links(two, ["uid", "key2"]).select("record_id_1", "record_id_2")
 
 
 @query("SELECT uid, n_records, CASE WHEN n_records > 3 THEN 'error' ELSE 'warning' END AS level FROM (SELECT CAST(uid AS VARCHAR) AS uid, count(DISTINCT record_id) AS n_records FROM an WHERE uid IS NOT NULL GROUP BY 1) WHERE n_records > 2")
@@ -218,7 +221,7 @@ def shingle_weights(spark, d):
 @query(S.SIMILAR)
 def similar_names(spark, d):
     vectors = cut(blocking.unit_vectors(blocking.shingles(split(spark, d))))
-    return blocking.similar_names(vectors, 0.2).select("nn_string_1", "nn_string_2", F.abs(F.round("cos_dist", 6)).alias("cos_dist"))
+    return blocking.similar_names(vectors, PARAMS.blocking_thresholds["low_cosine_bar"]).select("nn_string_1", "nn_string_2", F.abs(F.round("cos_dist", 6)).alias("cos_dist"))
 
 
 @query(S.COSINES)
@@ -230,7 +233,7 @@ def cosine_of_pairs(spark, d):
 
 @query(S.NEAREST)
 def nearest_names(spark, d):
-    return blocking.nearest_names(neighbours(spark, d), 2).select("nn_string_1", "nn_string_2", "cos_dist", "rank")
+    return blocking.nearest_names(neighbours(spark, d), PARAMS.neighbours).select("nn_string_1", "nn_string_2", "cos_dist", "rank")
 
 
 @query(S.ONE_DIRECTION)
@@ -257,12 +260,8 @@ def filtered_pairs(spark, d):
 
 @query(S.CANDIDATES)
 def candidate_pairs(spark, d):
-    """Blocking as a whole, at stricter bars than the defaults."""
-    return blocking.candidate_pairs(names(spark, d).where(~F.col("first").isin("UNKNOWN", "BABY", "TEST")), strict()).select("blockstring_1", "blockstring_2", F.abs(F.round("cos_dist", 6)).alias("cos_dist"), "edit_dist")
-
-
-def strict() -> Parameters:
-    return Parameters.of({"blocking_thresholds": {"high_cosine_bar": 0.2, "low_cosine_bar": 0.25, "nodob_cosine_bar": 0.1, "absvalue_bar": 1}})
+    """Blocking as a whole."""
+    return blocking.candidate_pairs(names(spark, d), PARAMS).select("blockstring_1", "blockstring_2", F.abs(F.round("cos_dist", 6)).alias("cos_dist"), "edit_dist")
 
 
 @query(S.TRUE_PAIRS)
@@ -272,7 +271,7 @@ def true_pairs(spark, d):
 
 def stored_candidates(spark, d):
     """Blockstring pairs of records that share a date and a last name."""
-    p = people(spark, d).where((F.col("drop_from_nm") == 0) & F.col("blockstring").rlike(r"\d$") & ~F.col("blockstring").rlike("^(UNKNOWN|TEST)"))
+    p = people(spark, d).where((F.col("drop_from_nm") == 0) & F.col("blockstring").rlike(r"\d$"))
     k = p.select("blockstring", F.regexp_extract("blockstring", "::(.*)$", 1).alias("k")).distinct()
     return k.select(F.col("blockstring").alias("blockstring_1"), "k").join(k.select(F.col("blockstring").alias("blockstring_2"), "k"), "k").where(F.col("blockstring_1") <= F.col("blockstring_2")).drop("k")
 
@@ -363,7 +362,7 @@ def swapped_names(spark, d):
 
 @query(S.SIDE_BY_SIDE)
 def side_by_side(spark, d):
-    p = people(spark, d).where("blockstring NOT LIKE 'UNKNOWN%' AND blockstring NOT LIKE 'BABY%' AND blockstring NOT LIKE 'TEST%'")
+    p = people(spark, d)
     pairs = blocking.true_pairs(mustlinks.must_links(p, ["uid"]))
     out = features.side_by_side(pairs, p, incremental=True)
     return features.same_side_labels(out, ["uid"]).select("record_id_1", "record_id_2", "uid_1", "uid_2")

@@ -51,8 +51,10 @@ LINKS = f"links AS (SELECT {SIDES}, a.file_type AS f1, b.file_type AS f2 FROM pe
 MUST_LINKS = f"WITH {PEOPLE}, {LINKS} SELECT * EXCLUDE (f1, f2) FROM links"
 MUST_LINKS_INCREMENTAL = f"WITH {PEOPLE}, {LINKS} SELECT * EXCLUDE (f1, f2) FROM links WHERE f1 = 'new' OR f2 = 'new'"
 MUST_LINKS_TWO = rf"""
-WITH {PEOPLE}, p AS (SELECT *, CASE WHEN drop_from_nm = 0 AND regexp_matches(blockstring, '\d$') THEN blockstring ELSE '' END AS key2 FROM people WHERE NOT regexp_matches(blockstring, '^UNKNOWN|^TEST|^BABY'))
-SELECT DISTINCT a.record_id AS record_id_1, b.record_id AS record_id_2 FROM p a JOIN p b ON ((a.uid = b.uid AND a.uid <> '') OR (a.key2 = b.key2 AND a.key2 <> '')) AND {ORDERED}"""
+WITH p AS (SELECT DISTINCT record_id, coalesce(blockstring, '') AS blockstring, coalesce(CAST(uid AS VARCHAR), '') AS uid,
+  CASE WHEN address_street_number IS NOT NULL AND regexp_matches(blockstring, '\d$') THEN blockstring || '|' || address_street_number ELSE '' END AS key2 FROM an)
+SELECT DISTINCT a.record_id AS record_id_1, b.record_id AS record_id_2 FROM p a JOIN p b ON a.uid = b.uid AND a.uid <> '' AND {ORDERED}
+UNION SELECT DISTINCT a.record_id, b.record_id FROM p a JOIN p b ON a.key2 = b.key2 AND a.key2 <> '' AND {ORDERED}"""
 
 CLOSE = """one AS (SELECT record_id, max(first_name) AS first_name, max(last_name) AS last_name, max(dob) AS dob, max(gender) AS gender, max(age) AS age, max(uid) AS uid, max(address_street_number) AS num
   FROM an WHERE drop_from_nm = 0 AND address_street_number IS NOT NULL AND last_name <> '' GROUP BY record_id),
@@ -97,14 +99,14 @@ VECTORS = f"{NAMES}, {SPLIT}, src AS (SELECT DISTINCT nn_string FROM split), {_s
 SHINGLES = f"WITH {VECTORS} SELECT nn_string, shingle, round(w, 9) AS w FROM sh"
 SIM = """sim AS (SELECT a.nn_string AS nn_string_1, b.nn_string AS nn_string_2, 1 - sum(a.x * b.x) AS cos_dist FROM vec a JOIN vec b ON a.shingle = b.shingle AND a.nn_string || '::' < b.nn_string || '::'
   GROUP BY 1, 2 HAVING 1 - sum(a.x * b.x) <= {bar} + 1e-9)"""
-SIMILAR = f"WITH {VECTORS}, {SIM.format(bar=0.2)} SELECT nn_string_1, nn_string_2, abs(round(cos_dist, 6)) AS cos_dist FROM sim"
+SIMILAR = f"WITH {VECTORS}, {SIM.format(bar=0.4)} SELECT nn_string_1, nn_string_2, abs(round(cos_dist, 6)) AS cos_dist FROM sim"
 NEAR = """near AS (SELECT nn_string_1, nn_string_2, min(cos_dist) AS cos_dist, coalesce(max(commonness_penalty_1), 0.1) AS commonness_penalty_1, coalesce(max(commonness_penalty_2), 0.1) AS commonness_penalty_2
   FROM near_neighbors_df WHERE nn_string_1 IS NOT NULL AND nn_string_2 IS NOT NULL AND cos_dist IS NOT NULL GROUP BY ALL)"""
 COSINES = f"""
 WITH {NEAR}, src AS (SELECT nn_string_1 AS nn_string FROM near UNION SELECT nn_string_2 FROM near), {_shingles('src')},
 dots AS (SELECT n.nn_string_1, n.nn_string_2, sum(a.x * b.x) AS dot FROM near n JOIN vec a ON a.nn_string = n.nn_string_1 JOIN vec b ON b.nn_string = n.nn_string_2 AND a.shingle = b.shingle GROUP BY 1, 2)
 SELECT nn_string_1, nn_string_2, abs(round(1 - coalesce(dot, 0), 6)) AS cos_dist FROM near LEFT JOIN dots USING (nn_string_1, nn_string_2)"""
-NEAREST = f"WITH {NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY nn_string_1 ORDER BY cos_dist, nn_string_2) AS rank FROM near) SELECT nn_string_1, nn_string_2, cos_dist, rank FROM r WHERE rank <= 2"
+NEAREST = f"WITH {NEAR}, r AS (SELECT *, row_number() OVER (PARTITION BY nn_string_1 ORDER BY cos_dist, nn_string_2) AS rank FROM near) SELECT nn_string_1, nn_string_2, cos_dist, rank FROM r WHERE rank <= 500"
 ONE_DIRECTION = f"WITH {NEAR} SELECT nn_string_1, nn_string_2 FROM near WHERE nn_string_1 || '::' < nn_string_2 || '::'"
 TALLIES = "tallies AS (SELECT nn_string, coalesce(max(commonness_penalty), 0.1) AS commonness_penalty, sum(n_new) AS n_new, sum(n_existing) AS n_existing, sum(n_total) AS n_total FROM nn_string_info WHERE nn_string IS NOT NULL GROUP BY nn_string)"
 ONE_DIRECTION_INCREMENTAL = f"""WITH {NEAR}, {TALLIES} SELECT nn_string_1, nn_string_2 FROM near WHERE nn_string_1 || '::' < nn_string_2 || '::'
@@ -127,14 +129,17 @@ FILTERED = f"""
 WITH {NAMES}, {SPLIT}, {EXPANDED}, {NEAR}, one AS (SELECT * FROM near WHERE nn_string_1 || '::' < nn_string_2 || '::'), {_filtered('one', 'kept', 0.3, 0.4, 0.26, 3)}
 SELECT blockstring_1, blockstring_2, round(cos_dist, 9) AS cos_dist, edit_dist, 1 AS covered_pair FROM kept"""
 CANDIDATES = f"""
-WITH {NAMES.replace("drop_from_nm = 0", "drop_from_nm = 0 AND coalesce(first_name, '') NOT IN ('UNKNOWN', 'BABY', 'TEST')")}, {SPLIT}, {EXPANDED}, {COUNTS}, {PENALTY}, {INFO}, {_shingles('info')}, {SIM.format(bar=0.25)},
-near AS (SELECT s.*, i.commonness_penalty AS commonness_penalty_1, j.commonness_penalty AS commonness_penalty_2 FROM sim s JOIN info i ON i.nn_string = s.nn_string_1 JOIN info j ON j.nn_string = s.nn_string_2),
+WITH {NAMES}, {SPLIT}, {EXPANDED}, {COUNTS}, {PENALTY}, {INFO}, {_shingles('info')}, {SIM.format(bar=0.4)},
+ways AS (SELECT nn_string_1 AS x, nn_string_2 AS y, cos_dist FROM sim UNION ALL SELECT nn_string_2, nn_string_1, cos_dist FROM sim),
+best AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY round(cos_dist, 9), y) AS rank FROM ways),
+near AS (SELECT s.*, i.commonness_penalty AS commonness_penalty_1, j.commonness_penalty AS commonness_penalty_2 FROM sim s JOIN info i ON i.nn_string = s.nn_string_1 JOIN info j ON j.nn_string = s.nn_string_2
+  WHERE (nn_string_1, nn_string_2) IN (SELECT (x, y) FROM best WHERE rank <= 500) OR (nn_string_2, nn_string_1) IN (SELECT (x, y) FROM best WHERE rank <= 500)),
 same AS (SELECT nn_string AS nn_string_1, nn_string AS nn_string_2, 0.0 AS cos_dist, commonness_penalty AS commonness_penalty_1, commonness_penalty AS commonness_penalty_2 FROM info WHERE n_total > 1),
-{_filtered('near', 'far', 0.2, 0.25, 0.1, 1)}, {_filtered('same', 'equal', 0.2, 0.25, 0.1, 1, True)}
+{_filtered('near', 'far', 0.3, 0.4, 0.26, 3)}, {_filtered('same', 'equal', 0.3, 0.4, 0.26, 3, True)}
 SELECT blockstring_1, blockstring_2, abs(round(min(cos_dist), 6)) AS cos_dist, min(edit_dist) AS edit_dist FROM (SELECT * FROM far UNION ALL SELECT * FROM equal) GROUP BY 1, 2"""
 TRUE = f"{PEOPLE}, {LINKS}, tp AS (SELECT DISTINCT blockstring_1, blockstring_2 FROM links WHERE drop_from_nm_1 = 0 AND drop_from_nm_2 = 0)"
 TRUE_PAIRS = f"WITH {TRUE} SELECT * FROM tp"
-STORED = r"""k AS (SELECT DISTINCT blockstring, regexp_extract(blockstring, '::(.*)$', 1) AS k FROM people WHERE drop_from_nm = 0 AND regexp_matches(blockstring, '\d$') AND NOT regexp_matches(blockstring, '^(UNKNOWN|TEST)')),
+STORED = r"""k AS (SELECT DISTINCT blockstring, regexp_extract(blockstring, '::(.*)$', 1) AS k FROM people WHERE drop_from_nm = 0 AND regexp_matches(blockstring, '\d$')),
 cp AS (SELECT a.blockstring AS blockstring_1, b.blockstring AS blockstring_2 FROM k a JOIN k b USING (k) WHERE a.blockstring <= b.blockstring)"""
 PARTS = r"regexp_replace({c}, '::[A-Z0-9\-]*$', '')"
 UNCOVERED = rf"""
@@ -184,7 +189,7 @@ p AS (SELECT a.record_id AS r1, b.record_id AS r2, a.f AS f1, a.l AS l1, b.f AS
 SELECT r1 AS record_id_1, r2 AS record_id_2, CASE WHEN better AND NOT second THEN l1 ELSE f1 END AS first_name_1, CASE WHEN better AND second THEN l2 ELSE f2 END AS first_name_2,
   CASE WHEN better AND NOT second THEN f1 ELSE l1 END AS last_name_1, CASE WHEN better AND second THEN f2 ELSE l2 END AS last_name_2 FROM p"""
 SIDE_BY_SIDE = f"""
-WITH {PEOPLE.replace("FROM an)", "FROM an WHERE NOT regexp_matches(coalesce(blockstring, ''), '^(UNKNOWN|BABY|TEST)'))")}, {LINKS}, tp AS (SELECT DISTINCT blockstring_1, blockstring_2 FROM links WHERE drop_from_nm_1 = 0 AND drop_from_nm_2 = 0),
+WITH {PEOPLE}, {LINKS}, tp AS (SELECT DISTINCT blockstring_1, blockstring_2 FROM links WHERE drop_from_nm_1 = 0 AND drop_from_nm_2 = 0),
 k AS (SELECT * FROM people WHERE drop_from_nm = 0)
 SELECT a.record_id AS record_id_1, b.record_id AS record_id_2, a.uid AS uid_1, b.uid AS uid_2 FROM tp JOIN k a ON a.blockstring = tp.blockstring_1 JOIN k b ON b.blockstring = tp.blockstring_2
 WHERE a.record_id <> b.record_id AND (tp.blockstring_1 <> tp.blockstring_2 OR a.record_id < b.record_id) AND (a.file_type = 'new' OR b.file_type = 'new') AND (a.uid <> '') = (b.uid <> '')"""

@@ -72,6 +72,14 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out.close()
 
 
+def file_state(spark: SparkSession, path: str) -> list | None:
+    """Length and time of change of a file, or of every file of a folder in order of their names; None if it isn't there."""
+    fs, p = _file(spark, path)
+    if not path or not fs.exists(p):
+        return None
+    return sorted([f.getPath().getName(), f.getLen(), f.getModificationTime()] for f in fs.listStatus(p))
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     """The text of a small file, or None if it isn't there."""
     fs, p = _file(spark, path)

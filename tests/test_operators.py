@@ -172,7 +172,7 @@ def test_metrics(spark):
 
 
 def sequential(records, edges):
-    return clustering.merge_greedily(records, edges, ["uid"], None, False, None, None)
+    return clustering.merge_greedily(records, edges, ["uid"], None, False, None, None)[0]
 
 
 @SLOW
@@ -216,9 +216,22 @@ def test_existing_ids_stay(spark):
 
 
 def test_leven_cluster_rule():
-    assert clustering.cluster_ok([["a1", "a2", ""]], [], False, 1) and not clustering.cluster_ok([["a1", "b9"]], [], False, 1)
-    assert not clustering.cluster_ok([["a", "b"]], [], False, None) and clustering.cluster_ok([["a", "b"]], [], True, None)
-    assert not clustering.cluster_ok([], ["1", "2", ""], True, None)
+    assert clustering.cluster_ok([{"a1", "a2"}], set(), False, 1) and not clustering.cluster_ok([{"a1", "b9"}], set(), False, 1)
+    assert not clustering.cluster_ok([{"a", "b"}], set(), False, None) and clustering.cluster_ok([{"a", "b"}], set(), True, None)
+    assert not clustering.cluster_ok([], {"1", "2"}, True, None)
+
+
+def test_refused_merges_are_counted(spark):
+    names = spark.createDataFrame([("a", "1"), ("b", ""), ("c", "2"), ("d", "")], "record_id string, uid string")
+    links = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.8), ("c", "d", 0.7)], "record_id_1 string, record_id_2 string, phat double")
+    edges = clustering.cluster_edges(links, names, ["uid"], clustering.Constraints())
+    got = clustering.greedy_clusters(clustering.initial_clusters(names, None), edges, names, ["uid"], with_refused=True)
+    assert got.agg(F.sum("refused")).first()[0] == 1 and {r[0]: r[1] for r in got.collect()} == {"a": "0", "b": "0", "c": "2", "d": "2"}
+
+
+def test_nearest_names_of_either_side(spark):
+    near = spark.createDataFrame([("b", "a", 0.1), ("a", "b", 0.1), ("c", "a", 0.2)], "nn_string_1 string, nn_string_2 string, cos_dist double")
+    assert {tuple(r) for r in blocking.either_direction(near).select("nn_string_1", "nn_string_2").collect()} == {("a", "b"), ("a", "c")}
 
 
 def test_hash_split_is_stable(spark):
