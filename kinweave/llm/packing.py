@@ -20,8 +20,6 @@ from kinweave.llm.bpe import encode_corpus
 from kinweave.runtime import cut, parallelism, plain_strings
 
 CAPACITY = 2_048
-#: Sources that a target mixture may name.
-MOST_SOURCES = 1_000
 #: Containers a window is meant to fill, and windows whose leftovers one group of the next level joins.
 WINDOW_CONTAINERS, FAN_IN = 64, 64
 #: Containers of a window that may go on to the next level; bounds the groups there by FAN_IN * CARRIED containers.
@@ -141,8 +139,6 @@ def mixture_report(docs: DataFrame, mixture: dict[str, float], capacity: int = C
 
     While all queues last, shares follow the mixture up to one item; windows after the end of a queue hold what the others have left.
     """
-    if len(mixture) > MOST_SOURCES:
-        raise ValueError("too many sources for a mixture")
     lens = cut(encode_corpus(docs, path=path, lengths_only=True, carry=["source"]))
     items = lens.select(F.col("doc_id").alias("key"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.col("n_tokens").cast("long").alias("size"))
     queued, _ = windows_of(items, capacity, mixture)

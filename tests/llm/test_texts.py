@@ -94,6 +94,13 @@ def test_windows_keep_proportions(spark):
     assert n == 13 and ((per["a"] / (per["a"] + per["b"])).iloc[:-1] - 0.75).abs().max() < 0.02
 
 
+def test_mixture_report(spark):
+    docs = documents(spark, ["one two three four five"] * 900, lambda i: "a" if i % 3 else "b")
+    got = packing.mixture_report(docs, {"a": 1.0, "b": 1.0}, capacity=20).toPandas().pivot(index="win", columns="source", values="share").fillna(0.0)
+    assert len(got) > 1 and (got.iloc[0] - 0.5).abs().max() < 0.02 and got["b"].iloc[-1] < 0.5  # b runs out first, a fills the rest
+    assert packing.mixture_report(documents(spark, []), {"a": 1.0}).count() == 0
+
+
 PROSE = [
     "At noon, the old miller painted the yellow bicycle in the market. The judge watched it.", "- Without a word, the clerk opened the door.\n- The mayor carried a lamp near the river.", "THE JUDGE FOUND THE KEY IN THE MARKET, BUT THE MAYOR LOST IT.",
     "1. Why didn't Dazon see that Fonul had it?\n2. The postman needed the old clock on the hill.", "the apprentice found two letters at the harbour. the tailor hid them.", "Der müde Wächter trug die schwere Tür im Rathaus; denn der Richter vergaß das Register.",
