@@ -116,6 +116,39 @@ def test_similar_names_against_all_pairs(spark):
     assert blocking.nearest_names(both, 1).groupBy("nn_string_1").count().where("count > 1").count() == 0
 
 
+def some_names(spark, n=150):
+    random.seed(7)
+    words, dates = ["".join(random.choice("ABC") for _ in range(random.randint(2, 5))) for _ in range(25)], ["", "1990-01-01", "1990-01-10", "1909-01-01", "1990-02-03", "2001-12-31", "199-01-01"]
+    rows = [(f"r{i}", random.choice(["new", "existing"]), random.choice(words), random.choice(words), random.choice(dates), random.choice([None, 3.0, 20.0])) for i in range(n)]
+    df = spark.createDataFrame(rows, "record_id string, file_type string, first string, last string, ed_string string, absval double")
+    return df.withColumns({"nn_string": F.concat_ws("::", "first", "last"), "blockstring": F.concat_ws("::", "first", "last", "ed_string")})
+
+
+@pytest.mark.parametrize("incremental", [False, True])
+def test_near_names_are_the_nearest_that_may_pass(spark, rows, monkeypatch, incremental):
+    monkeypatch.setattr(blocking, "BLOCK_NAMES", 30)
+    names, t, k = some_names(spark), Parameters().blocking_thresholds, 4
+    split = blocking.split_last_names(names)
+    info, expanded = blocking.name_info(names, split, 0.1).cache(), blocking.expanded_strings(split).cache()
+    vec = blocking.unit_vectors(blocking.shingles(info)).cache()
+    asked = info.where("n_new > 0") if incremental else None
+    near = blocking.near_names(vec, info, expanded, t, k, asked).cache()
+    nearest = blocking.nearest_names(blocking.similar_names(vec, 0.4, ordered=False, queries=asked), k).drop("rank").cache()
+    assert 0 < near.count() < nearest.count() and near.join(nearest, ["nn_string_1", "nn_string_2"], "left_anti").count() == 0
+    penalty = lambda i: info.select(F.col("nn_string").alias(f"nn_string_{i}"), F.col("commonness_penalty").alias(f"commonness_penalty_{i}"))
+    kept = lambda df: rows(blocking.filter_pairs(df.join(penalty(1), "nn_string_1").join(penalty(2), "nn_string_2"), expanded, t).withColumn("cos_dist", F.round("cos_dist", 9)))
+    assert kept(near) == kept(nearest)
+
+
+def test_same_names_in_parts(spark, rows, monkeypatch):
+    names, t = some_names(spark), Parameters().blocking_thresholds
+    split = blocking.split_last_names(names)
+    exact, expanded = blocking.exact_name_pairs(blocking.name_info(names, split, 0.1)), blocking.expanded_strings(split)
+    want = rows(blocking.filter_pairs(exact, expanded, t, same_name=True))
+    monkeypatch.setattr(blocking, "NAME_ROWS", 2)
+    assert rows(blocking.filter_pairs(exact, expanded, t, same_name=True)) == want != []
+
+
 def test_shingle_mass(spark):
     df = spark.createDataFrame([("PETER::HICKS",), ("ANN::LEE",)], "nn_string string")
     assert [round(r[0], 9) for r in blocking.shingles(df, alpha=0.5, power=1).groupBy("nn_string").agg(F.sum("w")).select("sum(w)").collect()] == [1.5, 1.5]
