@@ -116,6 +116,11 @@ def test_similar_names_against_all_pairs(spark):
     assert blocking.nearest_names(both, 1).groupBy("nn_string_1").count().where("count > 1").count() == 0
 
 
+def test_similar_names_store_vectors_once(spark):
+    vec = blocking.unit_vectors(blocking.shingles(spark.createDataFrame([(f"ANN::LEE{c}",) for c in "ABC"], "nn_string string")))
+    assert "Exchange" not in blocking.similar_names(vec, 0.4)._jdf.queryExecution().executedPlan().toString()
+
+
 def some_names(spark, n=150):
     random.seed(7)
     words, dates = ["".join(random.choice("ABC") for _ in range(random.randint(2, 5))) for _ in range(25)], ["", "1990-01-01", "1990-01-10", "1909-01-01", "1990-02-03", "2001-12-31", "199-01-01"]
