@@ -20,8 +20,8 @@ from kinweave.runtime import cut, dedup_latest, parallelism
 
 #: Rows of a block: 32,768 vectors of 64 numbers are 2 MB of int8 and 8 MB of float32.
 BLOCK_ROWS = 32_768
-#: Rows of a tile inside a task; a tile of products is TILE_ROWS x TILE_COLS float32 = 16 MB.
-TILE_ROWS, TILE_COLS = 1_024, 4_096
+#: Rows and columns of a tile inside a task; a tile of products is TILE_ROWS x TILE_COLS float32 = 2 MB, which stays in a core's cache.
+TILE_ROWS, TILE_COLS = 256, 2_048
 
 
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +56,10 @@ def tile_pairs(left: np.ndarray, right: np.ndarray, limit: float, k: int, same:
             # cos = dots * sa * sb +- (ea + eb + ea * eb); compare against row and column bars without another full matrix where possible
             bound = ea[a].max() + eb[b].max() + ea[a].max() * eb[b].max() + 1e-5
             bar = (1.0 - limit - bound) / np.float64(sb[b].max())
-            r, c = np.nonzero(dots >= (bar / sa[a]).astype(dots.dtype)[:, None]) if bar > 0 else np.nonzero(np.ones_like(dots, dtype=bool))
+            hits = np.flatnonzero(dots >= (bar / sa[a]).astype(dots.dtype)[:, None]) if bar > 0 else np.arange(dots.size)
+            if not len(hits):
+                continue
+            r, c = np.divmod(hits, dots.shape[1])
             r, c = r + i, c + j
             if same:
                 keep = r < c

@@ -131,3 +131,15 @@ def test_collision_curve(spark):
 def test_qgrams(spark, words, n):
     df = spark.createDataFrame([(words,)], "w array<string>")
     assert len(df.select(minhash.padded_qgrams(df["w"])).first()[0]) == n
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_tiles_stay_in_a_cache_and_lose_no_pair(same):
+    assert vectors.TILE_ROWS * vectors.TILE_COLS * 4 <= 2**21
+    rng = np.random.default_rng(3)
+    u = rng.standard_normal((vectors.TILE_COLS + 300, 3))
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    v = u if same else u[::-1][:700]
+    near = 1 - np.einsum("id,jd->ij", u, v) <= 0.001
+    r, c, _ = vectors.tile_pairs(u, v, 0.001, 5, same)
+    assert set(zip(r.tolist(), c.tolist())) == set(zip(*(x.tolist() for x in np.nonzero(np.triu(near, 1) if same else near))))
